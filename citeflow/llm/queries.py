@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import context_tree, ngram_join, substring_dedup
 
 QUERIES = {
+    "op2_context_tree": context_tree.query,
+    "op4_ngram_jaccard": ngram_join.query,
     "op7_substring_dedup": substring_dedup.query,
 }
 ORACLES: dict[str, str] = {}
