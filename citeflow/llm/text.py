@@ -68,19 +68,24 @@ def chunks(off: np.ndarray, size: int = CHUNK):
         first = last
 
 
-def words(column, lower: bool = False, spans: bool = False):
+#: Separators for plain words: every ASCII byte but letters and digits.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def words(column, lower: bool = False, spans: bool = False, space: np.ndarray = _SPACE, stems: tuple[int, ...] = ()):
     """(hashes, bounds[, starts, ends]): word hashes of all documents in
     order; document i owns hashes[bounds[i]:bounds[i+1]]; starts and ends are
-    byte positions in ``text_bytes(column)[0]``."""
+    byte positions in ``text_bytes(column)[0]``.  With ``stems``, also an
+    array of hashes of each word's first so many bytes, by stem length."""
     raw, off = text_bytes(column)
-    hashes, starts_all, ends_all = [], [], []
+    hashes, starts_all, ends_all, heads = [], [], [], [[] for _ in stems]
     bounds, at = np.zeros(len(off), np.int64), 0
     for a, b in chunks(off):
         lo, hi = int(off[a]), int(off[b])
         x = raw[lo:hi]
         if lower:
             x = _LOWER[x]
-        token = ~_SPACE[x]
+        token = ~space[x]
         local = off[a : b + 1] - lo
         first = token.copy()
         first[1:] &= ~token[:-1]
@@ -95,6 +100,8 @@ def words(column, lower: bool = False, spans: bool = False):
         total = np.zeros(len(x) + 1, np.uint64)
         np.cumsum(_BYTE[x] * up[: len(x)], out=total[1:])
         hashes.append(mix((total[e] - total[s]) * down[s]))
+        for own, size in zip(heads, stems, strict=True):
+            own.append(mix((total[np.minimum(e, s + size)] - total[s]) * down[s] + U(size)))
         bounds[a + 1 : b + 1] = at + np.searchsorted(s, local[1:])
         at += len(s)
         if spans:
@@ -102,6 +109,8 @@ def words(column, lower: bool = False, spans: bool = False):
             ends_all.append(e + lo)
     cat = lambda xs, t: np.concatenate(xs) if xs else np.zeros(0, t)
     out = (cat(hashes, np.uint64), bounds)
+    if stems:
+        out = (*out, [cat(x, np.uint64) for x in heads])
     return (*out, cat(starts_all, np.int64), cat(ends_all, np.int64)) if spans else out
 
 
