@@ -136,7 +136,7 @@ def _greedy(w: np.ndarray) -> np.ndarray:
 
 
 def _propagate(w: np.ndarray) -> np.ndarray:
-    """Label propagation in node order; ties go to the own label, else the smallest."""
+    """Label propagation in node order; ties go to the own label, else the largest."""
     of, a = np.arange(len(w)), w != 0
     for _ in range(100):
         was = of.copy()
@@ -145,7 +145,7 @@ def _propagate(w: np.ndarray) -> np.ndarray:
             if len(around):
                 labels, n = np.unique(around, return_counts=True)
                 best = labels[n == n.max()]
-                of[v] = of[v] if of[v] in best else best[0]
+                of[v] = of[v] if of[v] in best else best[-1]
         if (was == of).all():
             break
     return of
