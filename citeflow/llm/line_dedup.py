@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
-from .text import mix, powers, words
+from .text import chunks, mix, powers, text_bytes, words
 
 U = np.uint64
 LINES = "key long, doc_id long, line int, leaf long, body long, cells binary"
@@ -23,34 +23,32 @@ def parsed(depth: int, least_words: int):
     of words and the first ``depth`` of them), a hash of the line and its
     words; words with a digit are variable fields from the start."""
 
+    def lines_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        split = [(x or "").split("\n") for x in batch["text"].to_pylist()]
+        owner = np.repeat(np.arange(len(split)), [len(x) for x in split])
+        number = np.concatenate([np.arange(len(x)) for x in split] or [np.zeros(0, int)])
+        column = pa.array([y for x in split for y in x], pa.large_string())
+        h, bounds, s, e = words(column, spans=True)
+        digits = np.concatenate(([0], np.cumsum(_DIGIT[text_bytes(column)[0]], dtype=np.int32)))
+        h = np.where(digits[e] > digits[s], WILD, h)
+        up, down = powers(0xC2B2AE3D27D4EB4F, len(h) + 1)
+        total = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(h * up[: len(h)], out=total[1:])
+        first, end = bounds[:-1], bounds[1:]
+        n = (end - first).astype(np.uint64)
+        body = mix((total[end] - total[first]) * down[first] + n).view(np.int64)
+        leaf = mix(((total[np.minimum(first + depth, end)] - total[first]) * down[first]) ^ (n << U(32))).view(np.int64)
+        own = np.flatnonzero(end - first >= least_words)
+        by = np.lexsort((own, body[own], owner[own]))
+        new = np.ones(len(own), bool)  # the first line of this kind in its document
+        new[by[1:]] = (body[own][by[1:]] != body[own][by[:-1]]) | (owner[own][by[1:]] != owner[own][by[:-1]])
+        cells = [h[first[i] : end[i]].tobytes() if x else None for i, x in zip(own.tolist(), new.tolist(), strict=True)]
+        return pa.RecordBatch.from_pydict({"key": batch["key"].take(pa.array(owner[own])), "doc_id": batch["doc_id"].take(pa.array(owner[own])).cast(pa.int64()), "line": pa.array(number[own], pa.int32()), "leaf": pa.array(leaf[own]), "body": pa.array(body[own]), "cells": pa.array(cells, pa.binary())})
+
     def run(batches):
         for batch in batches:
-            texts = [x or "" for x in batch["text"].to_pylist()]
-            split = [x.split("\n") for x in texts]
-            owner = np.repeat(np.arange(len(split)), [len(x) for x in split])
-            number = np.concatenate([np.arange(len(x)) for x in split] or [np.zeros(0, int)])
-            column = pa.array([y for x in split for y in x], pa.large_string())
-            h, bounds, s, e = words(column, spans=True)
-            raw = np.frombuffer(column.buffers()[2], np.uint8) if len(h) else np.zeros(0, np.uint8)
-            digits = np.concatenate(([0], np.cumsum(_DIGIT[raw])))
-            h = np.where(digits[e] > digits[s], WILD, h)
-            up = powers(0xC2B2AE3D27D4EB4F, 1 << 12)[0]
-            keys, ids = batch["key"].to_numpy(), batch["doc_id"].to_pylist()
-            rows, seen = [], set()
-            for i in range(len(bounds) - 1):
-                own = h[bounds[i] : bounds[i + 1]]
-                if len(own) < least_words:
-                    continue
-                factor = up[np.arange(len(own)) % (1 << 12)]
-                body = mix(np.array([(own * factor).sum() + U(len(own))], np.uint64))
-                head = own[:depth]
-                leaf = mix(np.array([(head * factor[: len(head)]).sum() ^ (U(len(own)) << U(32))], np.uint64))
-                body, leaf = int(body.view(np.int64)[0]), int(leaf.view(np.int64)[0])
-                doc = int(owner[i])
-                again = (doc, body) in seen
-                seen.add((doc, body))
-                rows.append((int(keys[doc]), ids[doc], int(number[i]), leaf, body, None if again else own.tobytes()))
-            yield pa.RecordBatch.from_pydict({n: pa.array([r[j] for r in rows], t) for j, (n, t) in enumerate((("key", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("leaf", pa.int64()), ("body", pa.int64()), ("cells", pa.binary())))})
+            for a, b in chunks(text_bytes(batch["text"])[1], 1 << 20):
+                yield lines_of(batch.slice(a, b - a))
 
     return run
 
