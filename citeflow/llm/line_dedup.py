@@ -110,7 +110,8 @@ def drop_recurring(docs: DataFrame, **settings) -> DataFrame:
     template's documents are added up over its distinct lines.  An empty
     table gives an empty result."""
     lost = recurring(docs, **settings).groupBy("key").agg(F.collect_set("line").alias("_lost"))
-    lost = written(lost).withColumnRenamed("key", "_key")
+    # merge: this table grows with the input and is never broadcast
+    lost = written(lost).withColumnRenamed("key", "_key").hint("merge")
     out = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(lost, "_key", "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_lost"), i)), "\n")
     text = F.when(F.col("_lost").isNull(), F.col("text")).otherwise(kept)
