@@ -136,12 +136,14 @@ def parse_xlsx(content: bytes) -> list[list]:
         sheet = sorted((n for n in z.namelist() if re.match(r"xl/worksheets/sheet\d+\.xml$", n)), key=lambda n: int(re.findall(r"\d+", n)[0]))[0]
         rows = []
         for row in ElementTree.fromstring(z.read(sheet)).iter(f"{{{ns['m']}}}row"):
-            cells = {}
+            cells, at = {}, 0  # a cell without a reference follows the one before
             for c in row.findall("m:c", ns):
-                letters = re.match(r"[A-Z]+", c.get("r", "A"))[0]
-                at = 0
-                for x in letters:
-                    at = at * 26 + ord(x) - 64
+                if c.get("r"):
+                    letters, at = re.match(r"[A-Z]+", c.get("r"))[0], 0
+                    for x in letters:
+                        at = at * 26 + ord(x) - 64
+                else:
+                    at += 1
                 v = c.find("m:v", ns)
                 if c.get("t") == "inlineStr":
                     cells[at - 1] = "".join(t.text or "" for t in c.iter(f"{{{ns['m']}}}t"))
