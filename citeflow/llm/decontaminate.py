@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import PUNCTUATION, mix, powers, words
+from .text import PUNCTUATION, mix, pieces, powers, words
 
 U = np.uint64
 #: 1: the word counts, 0: it may be any word.
@@ -116,7 +116,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, least: int = 10, share: fl
     for seeds in slices(benchmark):
 
         def run(batches, seeds=seeds):
-            for batch in batches:
+            for batch in pieces(batches):
                 h, bounds = words(batch["text"], lower=True, space=PUNCTUATION)
                 hit = {x[0] for x in seeds.search(range(batch.num_rows), h, bounds, least, share)}
                 yield batch.filter(pa.array([i not in hit for i in range(batch.num_rows)], pa.bool_()))
@@ -144,7 +144,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 10, share: floa
     for seeds in slices(benchmark):
 
         def run(batches, seeds=seeds):
-            for batch in batches:
+            for batch in pieces(batches):
                 h, bounds = words(batch["text"], lower=True, space=PUNCTUATION)
                 rows = seeds.search(batch["doc_id"].to_pylist(), h, bounds, least, share)
                 yield pa.RecordBatch.from_pydict({k: pa.array([x[i] for x in rows], pa.int64()) for i, k in enumerate(("doc_id", "item_id", "first", "n_words", "n_same"))})

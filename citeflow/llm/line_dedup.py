@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
-from .text import chunks, mix, powers, text_bytes, words
+from .text import mix, pieces, powers, text_bytes, words
 
 U = np.uint64
 LINES = "key long, doc_id long, line int, leaf long, body long, cells binary"
@@ -46,9 +46,8 @@ def parsed(depth: int, least_words: int):
         return pa.RecordBatch.from_pydict({"key": batch["key"].take(pa.array(owner[own])), "doc_id": batch["doc_id"].take(pa.array(owner[own])).cast(pa.int64()), "line": pa.array(number[own], pa.int32()), "leaf": pa.array(leaf[own]), "body": pa.array(body[own]), "cells": pa.array(cells, pa.binary())})
 
     def run(batches):
-        for batch in batches:
-            for a, b in chunks(text_bytes(batch["text"])[1], 1 << 20):
-                yield lines_of(batch.slice(a, b - a))
+        for batch in pieces(batches):
+            yield lines_of(batch)
 
     return run
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-CHUNK = 2 << 20
+CHUNK = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -68,6 +68,15 @@ def chunks(off: np.ndarray, size: int = CHUNK):
         first = last
 
 
+def pieces(batches, size: int = 1 << 20):
+    """Record batches cut into runs of rows with about ``size`` bytes of
+    text, so that what a worker holds does not grow with its batches; a
+    longer text is a run of its own."""
+    for batch in batches:
+        for a, b in chunks(text_bytes(batch["text"])[1], size):
+            yield batch.slice(a, b - a)
+
+
 #: Separators for plain words: every ASCII byte but letters and digits.
 PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
@@ -131,18 +140,19 @@ def windows(h: np.ndarray, bounds: np.ndarray, k: int, base: int = _Q) -> tuple[
 def shingle_sets(column, k: int = 5) -> list[np.ndarray]:
     """Per document the sorted distinct hashes of its k-word shingles over
     A-Z-lowered words; with fewer than k words, the whole sequence as one."""
-    h, bounds = words(column, lower=True)
-    at, w = windows(h, bounds, k)
-    cuts = np.searchsorted(at, bounds)
     out = []
-    for i in range(len(bounds) - 1):
-        part = w[cuts[i] : cuts[i + 1]]
-        if len(part):
-            out.append(np.unique(part))
-        elif bounds[i + 1] > bounds[i]:
-            own = h[bounds[i] : bounds[i + 1]]
-            up = powers(_Q, k)[0]
-            out.append(mix(np.array([(own * up[: len(own)]).sum() ^ U(len(own))], np.uint64)))
-        else:
-            out.append(part)
+    for first, last in chunks(text_bytes(column)[1], 1 << 20):
+        h, bounds = words(column.slice(first, last - first), lower=True)
+        at, w = windows(h, bounds, k)
+        cuts = np.searchsorted(at, bounds)
+        for i in range(len(bounds) - 1):
+            part = w[cuts[i] : cuts[i + 1]]
+            if len(part):
+                out.append(np.unique(part))
+            elif bounds[i + 1] > bounds[i]:
+                own = h[bounds[i] : bounds[i + 1]]
+                up = powers(_Q, k)[0]
+                out.append(mix(np.array([(own * up[: len(own)]).sum() ^ U(len(own))], np.uint64)))
+            else:
+                out.append(part)
     return out

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import PUNCTUATION, words
+from .text import PUNCTUATION, pieces, words
 
 #: Cells of a table of counts; tokens and stems are hashed into it.
 CELLS = 1 << 18
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20000):
 
     def count(batches):
         sums = np.zeros((2, len(STEMS) + 1, CELLS), np.int64)
-        for batch in batches:
+        for batch in pieces(batches):
             cells, bounds = tokens(batch["text"])
             label = np.array(batch["toxic"].to_pylist(), np.int64)
             doc = np.repeat(np.arange(len(label)), np.diff(bounds))
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20000):
     weights = Weights(table[1], table[0])
     # the calibration texts: bounded by the sample, reduced to scores on the executors
     def tail(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             odds = weights.odds(tokens(batch["text"])[0])
             bins = np.bincount(np.clip((odds + 16) * 16, 0, 511).astype(int), minlength=512)
             yield pa.RecordBatch.from_pydict({"bin": pa.array(np.arange(512), pa.int32()), "n": pa.array(bins, pa.int64())})
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20000):
     weights.calibrate_tail(np.repeat((bins["bin"].to_numpy() + 0.5) / 16 - 16, np.ceil(n * min(1, 1e6 / max(1, n.sum()))).astype(int)))
 
     def score(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             x = weights.evidence(batch["text"])[0]
             yield pa.RecordBatch.from_pydict({"x": pa.array(list(x), pa.list_(pa.float64())), "toxic": batch["toxic"]})
 
@@ -179,7 +179,7 @@ def score(docs: DataFrame, labels: DataFrame, most: int = 20000) -> DataFrame:
     weights, w = fit(docs, labels, most)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             x, passages = weights.evidence(batch["text"])
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"].cast(pa.int64()), "held_out": batch["held_out"], "score": pa.array(p), "predicted": pa.array(p >= 0.5).cast(pa.int32()), "passages": pa.array(passages, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("evidence", pa.float64())])))})
@@ -192,7 +192,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, most: int = 20000) -> DataFra
     weights, w = fit(docs, labels, most)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             x = weights.evidence(batch["text"])[0]
             yield batch.filter(pa.array(x @ w < 0))
 
