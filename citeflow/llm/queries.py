@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import context_tree, decontaminate, fingerprints, licenses, line_dedup, mixing, ngram_join, substring_dedup, toxicity, url_filter
+from . import context_tree, decontaminate, fingerprints, licenses, line_dedup, mixing, ngram_join, oracles, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_fingerprints": fingerprints.query,
@@ -16,6 +16,10 @@ QUERIES = {
     "op9_line_dedup": line_dedup.query,
     "op10_url_filter": url_filter.query,
 }
-#: None of the ten can be put in SQL as a whole (hashed sketches, trees,
-#: models, seeded draws); tests/llm holds each against brute force.
-ORACLES: dict[str, str] = {}
+#: The others can't be put in SQL as a whole (hashed sketches, trees, models,
+#: seeded draws); tests/llm holds each against brute force.
+ORACLES: dict[str, str] = {
+    "op4_ngram_jaccard": oracles.NGRAM_JACCARD,
+    "op5_licenses": oracles.LICENSES,
+    "op7_substring_dedup": oracles.SUBSTRING_DEDUP,
+}
