@@ -42,9 +42,9 @@ def scan(docs: DataFrame, least: float = 0.8, templates: dict[str, str] | None =
     Words are lowered runs of a-z, 0-9 and inner dots.  A unit's best
     template counts if twice the common bigrams over the sum of both numbers
     of distinct bigrams is at least ``least``; ties go to the smaller name.
-    Units with too few or too many words for any template are passed over
-    before their bigrams are made, and templates whose size excludes them
-    before they are compared.
+    Units with too few words, or too many distinct ones, for any template are
+    passed over before their bigrams are made, and templates whose size
+    excludes them before they are compared.
 
     Null and empty texts have no units.  Repeated rows repeat.  A null doc_id
     is reported as it is; other columns are ignored; an empty table gives an
@@ -57,11 +57,14 @@ def scan(docs: DataFrame, least: float = 0.8, templates: dict[str, str] | None =
     lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("unit")))
     whole = F.when(F.contains(text, F.lit("\n")), F.array(F.struct(F.lit(-1).alias("line"), text.alias("unit")))).otherwise(F.array().cast("array<struct<line:int,unit:string>>"))
     units = docs.select("doc_id", F.inline(F.concat(whole, lines)))
-    # a unit of w words has at most w - 1 bigrams; repeats only lower that
+    # a unit of w words has at most w - 1 bigrams, and at least one for each
+    # distinct word but the first
     count = F.regexp_count(F.lower("unit"), F.lit(r"[a-z0-9]+(\.+[a-z0-9]+)*"))
-    units = units.withColumn("w", count).where(F.col("w").between(int(lo) + 1, 4 * int(hi) + 2))
+    units = units.withColumn("w", count).where(F.col("w") > int(lo))
     words = F.regexp_extract_all(F.lower("unit"), F.lit(r"([a-z0-9]+(?:\.+[a-z0-9]+)*)"), F.lit(1))
-    grams = F.element_at(F.transform(F.array(words), lambda w: F.array_distinct(F.transform(F.slice(w, 2, F.size(w)), lambda x, i: F.concat(F.get(w, i), F.lit(" "), x)))), 1)
+    units = units.select("doc_id", "line", "w", F.explode(F.array(words)).alias("words"))
+    units = units.where((F.col("w") <= int(hi) + 1) | (F.size(F.array_distinct("words")) <= int(hi) + 1))
+    grams = F.element_at(F.transform(F.array("words"), lambda w: F.array_distinct(F.transform(F.slice(w, 2, F.size(w)), lambda x, i: F.concat(F.get(w, i), F.lit(" "), x)))), 1)
     units = units.select("doc_id", "line", F.explode(F.array(grams)).alias("grams"))
     n = F.size("grams")
     fits = F.filter(shape, lambda t: (t["n"] >= F.lit(least / (2 - least)) * n - 1e-9) & (t["n"] <= F.lit((2 - least) / least) * n + 1e-9))

@@ -7,9 +7,11 @@ import random
 import re
 import zlib
 
+import duckdb
+import pyarrow as pa
 import pytest
 
-from citeflow.llm import context_tree, decontaminate, fingerprints, licenses, line_dedup, mixing, ngram_join, substring_dedup, toxicity, url_filter
+from citeflow.llm import context_tree, decontaminate, fingerprints, licenses, line_dedup, mixing, ngram_join, oracles, substring_dedup, toxicity, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _block int, key string, n string"
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -205,6 +207,17 @@ def test_licenses(docs, none, spark):
     assert licenses.scan(docs).count() == 0 == licenses.scan(none).count()
 
 
+def test_oracles(docs, spark):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    rows += [(1000, "x\n" + "All rights reserved. " * 90), (1001, "licensed under CC BY 4.0.\nLicensed under the Apache License, version 2.0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [x[0] for x in rows], "text": [x[1] for x in rows]}))
+    cut = lambda d: [(r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in d.collect()]
+    for got, sql in ((cut(substring_dedup.remove_repeats(df)), oracles.SUBSTRING_DEDUP), ([*map(tuple, ngram_join.join(df).collect())], oracles.NGRAM_JACCARD), ([*map(tuple, licenses.scan(df).collect())], oracles.LICENSES)):
+        assert sorted(got) == sorted(con.sql(sql).fetchall()) and got
+
+
 def test_mixing(docs, none):
     got = mixing.mix(docs).collect()
     sizes = {r["doc_id"]: r["mix_size"] for r in got}
