@@ -57,27 +57,24 @@ class Seeds:
             some[(keys & U((1 << BITS) - 1)).astype(np.int64)] = True
             self.tables.append((keys[by], where[by], some))
 
-    def overlap(self, doc: np.ndarray, at: int, item: int, place: int, span: int, least: int, share: float):
-        """The run of words around a hit that pays: +1 for the same word, -1
-        for another, up to a drop of 4 on either side."""
+    def overlap(self, doc: np.ndarray, item: int, shift: int, least: int, share: float):
+        """(first, n_words, n_same) of the run with most same words, and at
+        least the share of them, where the item's word i meets the document's
+        word shift + i."""
         own = self.h[self.bounds[item] : self.bounds[item + 1]]
-        lo, hi = -min(at, place), min(len(doc) - at, len(own) - place)
-        same = doc[at + lo : at + hi] == own[place + lo : place + hi]
-        gain = np.where(same, 1, -1)
-        start = -lo
-
-        def reach(run):
-            total = np.cumsum(run)
-            stop = np.flatnonzero(np.maximum.accumulate(np.maximum(total, 0)) - total > 4)
-            total = total[: stop[0]] if len(stop) else total
-            return int(np.argmax(total)) + 1 if len(total) and total.max() > 0 else 0
-
-        b = start + reach(gain[start:])
-        a = start - reach(gain[:start][::-1])
-        n, m = b - a, int(same[a:b].sum())
-        if m >= min(least, math.ceil(share * len(own))) and m >= share * n:
-            return at + lo + a, n, m
-        return None
+        lo, hi = max(0, shift), min(len(doc), shift + len(own))
+        same = doc[lo:hi] == own[lo - shift : hi - shift]
+        # a run has the share if this sum doesn't sink over it; for each end
+        # the first start with a sum as low has the most same words
+        total = np.concatenate(([0.0], np.cumsum(same - share)))
+        count = np.concatenate(([0], np.cumsum(same)))
+        start = np.searchsorted(-np.minimum.accumulate(total), -total - 1e-9)
+        b = int(np.argmax(count - count[start]))
+        a, m = int(start[b]), int(count[b] - count[start[b]])
+        if m < min(least, math.ceil(share * len(own))):
+            return None
+        a += int(np.argmax(same[a:b]))
+        return lo + a, b - a, m
 
     def search(self, doc_ids, h: np.ndarray, bounds: np.ndarray, least: int, share: float):
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
@@ -96,7 +93,7 @@ class Seeds:
                     have = best.get((i, item))
                     if have and have[0] <= at - bounds[i] < have[0] + have[1]:
                         continue
-                    got = self.overlap(h[bounds[i] : bounds[i + 1]], int(at - bounds[i]), item, place, len(mask), least, share)
+                    got = self.overlap(h[bounds[i] : bounds[i + 1]], item, int(at - bounds[i]) - place, least, share)
                     if got and (not have or got[2] > have[2]):
                         best[i, item] = got
         return [(doc_ids[i], self.ids[item], *x) for (i, item), x in sorted(best.items())]
@@ -131,9 +128,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 10, share: floa
 
     Words are maximal runs of letters and digits, A-Z lowered.  Test and
     training texts meet where three spaced masks of 13 words with 8 that
-    count hash alike; every hit is extended over substituted words and kept
-    if at least ``least`` words (or ``share`` of a shorter item) and ``share``
-    of the overlap are the same.  The benchmark goes to the executors in
+    count hash alike; around a hit the run with most same words is taken
+    in which at least ``least`` words (or ``share`` of a shorter item) and
+    ``share`` of the run are the same.  The benchmark goes to the executors in
     slices of at most SLICE characters, one pass over docs for each, so a
     benchmark of any size is searched whole.
 

@@ -191,6 +191,20 @@ def test_decontamination(docs, none, spark):
     assert decontaminate.overlaps(none, bench).count() == 0 == decontaminate.overlaps(docs, bench.limit(0)).count()
 
 
+def found(item, doc):
+    from citeflow.llm.text import PUNCTUATION, words
+
+    h, bounds = words(pa.array(doc, pa.large_string()), lower=True, space=PUNCTUATION)
+    return [x[2:] for x in decontaminate.Seeds([1], [item]).search(range(len(doc)), h, bounds, 10, 0.75)]
+
+
+def test_decontamination_longer_hit():
+    w = [f"q{i}x" for i in range(50)]
+    text = [x if i < 14 or i % 5 in (0, 2, 4) else "other" for i, x in enumerate(w)]
+    (first, n, same), *rest = found(" ".join(w), [" ".join(text), " ".join(text[:14])])
+    assert first == 0 and same >= 14 and same >= 0.75 * n and rest == [(0, 14, 14)]
+
+
 def test_licenses(docs, none, spark):
     texts = ["intro words\nReleased under the MIT license\n", "RELEASED UNDER THE MIT LICENSE!", "all rights reserved", None, "", "released under nothing"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
