@@ -9,13 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import PUNCTUATION, mix, pieces, powers, words
+from .text import PUNCTUATION, chunks, mix, pieces, powers, words
 
 U = np.uint64
-#: 1: the word counts, 0: it may be any word.
-MASKS = ("1101100110101", "1110010110011", "1011101001101")
+#: 1: the word counts, 0: it may be any word.  Every run of at least 10 same
+#: words with at least 75 % the same holds one of these: such a run of 28 words
+#: or more has a half that is one too, and up to 27 tests/llm enumerates them.
+MASKS = ("1101111", "1100010111", "11101001001", "1100010000111", "1101000100011", "101010001101", "1011111")
+LEAST, SHARE, SPAN = 10, 0.75, max(map(len, MASKS))
 BITS = 20
-SLICE = 2_000_000
+SLICE, HITS = 2_000_000, 1 << 15
 OUT = "doc_id long, item_id long, first long, n_words long, n_same long"
 
 
@@ -31,33 +34,45 @@ def spaced(h: np.ndarray, mask: str) -> np.ndarray:
     return mix(out + U(len(mask)))
 
 
+def need_of(n: int, least: int, share: float) -> int:
+    """The same words that an overlap with an item of n words must have."""
+    return min(least, math.ceil(share * n - 1e-9))
+
+
+def masks_of(n: int, least: int, share: float) -> tuple[str, ...]:
+    """Masks that every accepted overlap with an item of n words holds: MASKS,
+    or for shorter items and looser rules the plain run that the same words
+    leave somewhere however the others part them."""
+    if n >= SPAN and least >= LEAST and share >= SHARE:
+        return MASKS
+    need = need_of(n, least, share)
+    fewest = (max(need, math.ceil(share / (1 - share) * z - 1e-9) if z else 0) / (z + 1) for z in range(n - need + 1 if share < 1 else 1))
+    return ("1" * max(1, math.ceil(min(fewest))),)
+
+
 class Seeds:
     """The benchmark's words and its seeds by hash."""
 
-    def __init__(self, ids: list[int], texts: list[str], masks=MASKS):
-        self.ids = ids
+    def __init__(self, ids: list[int], texts: list[str], least: int = LEAST, share: float = SHARE):
+        self.ids, self.least, self.share = ids, least, share
         self.h, self.bounds = words(pa.array(texts, pa.large_string()), lower=True, space=PUNCTUATION)
         sizes = np.diff(self.bounds)
-        span = min(map(len, masks))
-        short = {int(n) for n in sizes if 0 < n < span}
-        # items shorter than a mask are sought as a whole
-        self.masks = [*masks, *("1" * n for n in sorted(short))]
+        self.need = np.array([need_of(int(n), least, share) for n in sizes], np.int64)
+        items: dict[str, list[int]] = {}
+        for i in np.flatnonzero(sizes).tolist():
+            for mask in masks_of(int(sizes[i]), least, share):
+                items.setdefault(mask, []).append(i)
         self.tables = []
-        for mask in self.masks:
-            keys, where = [], []
-            for i in range(len(ids)):
-                if (mask in masks) == (sizes[i] >= span) and (mask in masks or sizes[i] == len(mask)):
-                    k = spaced(self.h[self.bounds[i] : self.bounds[i + 1]], mask)
-                    keys.append(k)
-                    where.append(np.column_stack((np.full(len(k), i), np.arange(len(k)))))
-            keys = np.concatenate([*keys, np.zeros(0, np.uint64)])
-            where = np.concatenate([*where, np.zeros((0, 2), np.int64)])
+        for mask, own in items.items():
+            keys = [spaced(self.h[self.bounds[i] : self.bounds[i + 1]], mask) for i in own]
+            where = np.concatenate([np.column_stack((np.full(len(k), i), np.arange(len(k)))) for i, k in zip(own, keys, strict=True)])
+            keys = np.concatenate(keys)
             by = np.argsort(keys, kind="stable")
             some = np.zeros(1 << BITS, bool)
             some[(keys & U((1 << BITS) - 1)).astype(np.int64)] = True
-            self.tables.append((keys[by], where[by], some))
+            self.tables.append((mask, keys[by], where[by], some))
 
-    def overlap(self, doc: np.ndarray, item: int, shift: int, least: int, share: float):
+    def overlap(self, doc: np.ndarray, item: int, shift: int):
         """(first, n_words, n_same) of the run with most same words, and at
         least the share of them, where the item's word i meets the document's
         word shift + i."""
@@ -66,84 +81,100 @@ class Seeds:
         same = doc[lo:hi] == own[lo - shift : hi - shift]
         # a run has the share if this sum doesn't sink over it; for each end
         # the first start with a sum as low has the most same words
-        total = np.concatenate(([0.0], np.cumsum(same - share)))
+        total = np.concatenate(([0.0], np.cumsum(same - self.share)))
         count = np.concatenate(([0], np.cumsum(same)))
         start = np.searchsorted(-np.minimum.accumulate(total), -total - 1e-9)
         b = int(np.argmax(count - count[start]))
         a, m = int(start[b]), int(count[b] - count[start[b]])
-        if m < min(least, math.ceil(share * len(own))):
+        if m < max(1, self.need[item]):
             return None
         a += int(np.argmax(same[a:b]))
         return lo + a, b - a, m
 
-    def search(self, doc_ids, h: np.ndarray, bounds: np.ndarray, least: int, share: float):
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for mask, (keys, where, some) in zip(self.masks, self.tables, strict=True):
-            if not len(keys) or len(h) < len(mask):
-                continue
+    def hits(self, h: np.ndarray, bounds: np.ndarray):
+        """(position, item, place in the item) of seeds that meet, in arrays
+        of at most about HITS."""
+        for mask, keys, where, some in self.tables:
             k = spaced(h, mask)
-            for at in np.flatnonzero(some[(k & U((1 << BITS) - 1)).astype(np.int64)]):
-                a, b = np.searchsorted(keys, k[at]), np.searchsorted(keys, k[at], "right")
-                if a == b:
-                    continue
-                i = int(np.searchsorted(bounds, at, "right")) - 1
-                if at + len(mask) > bounds[i + 1]:
-                    continue
-                for item, place in where[a:b].tolist():
-                    have = best.get((i, item))
-                    if have and have[0] <= at - bounds[i] < have[0] + have[1]:
-                        continue
-                    got = self.overlap(h[bounds[i] : bounds[i + 1]], item, int(at - bounds[i]) - place, least, share)
-                    if got and (not have or got[2] > have[2]):
-                        best[i, item] = got
+            at = np.flatnonzero(some[(k & U((1 << BITS) - 1)).astype(np.int64)])
+            a, b = np.searchsorted(keys, k[at]), np.searchsorted(keys, k[at], "right")
+            inside = at + len(mask) <= bounds[np.searchsorted(bounds, at, "right")]
+            at, a, n = at[inside], a[inside], (b - a)[inside]
+            total = np.cumsum(n)
+            for x, y in chunks(np.concatenate(([0], total)), HITS):
+                m = n[x:y]
+                row = np.repeat(a[x:y] - (total[x:y] - m), m) + np.arange(total[y - 1] - m.sum(), total[y - 1])
+                yield np.repeat(at[x:y], m), where[row, 0], where[row, 1]
+
+    def search(self, doc_ids, h: np.ndarray, bounds: np.ndarray):
+        """(doc_id, item_id, first, n_words, n_same) of every document and
+        item that overlap: the overlap with most same words."""
+        # an accepted overlap has an accepted part this short around its seed
+        reach = np.arange(-2 * math.ceil(self.least / self.share), 2 * math.ceil(self.least / self.share) + 1)
+        lines = [np.zeros((0, 3), np.int64)]
+        for at, item, place in self.hits(h, bounds):
+            if not len(at):
+                continue
+            doc = np.searchsorted(bounds, at, "right") - 1
+            x, y = at[:, None] + reach, (self.bounds[item] + place)[:, None] + reach
+            same = (x >= bounds[doc][:, None]) & (x < bounds[doc + 1][:, None]) & (y >= self.bounds[item][:, None]) & (y < self.bounds[item + 1][:, None])
+            same &= h[np.clip(x, 0, len(h) - 1)] == self.h[np.clip(y, 0, len(self.h) - 1)]
+            near = same.sum(1) >= self.need[item]
+            lines.append(np.unique(np.column_stack((doc, item, at - bounds[doc] - place))[near], axis=0))
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for i, item, shift in np.unique(np.concatenate(lines), axis=0).tolist():
+            got = self.overlap(h[bounds[i] : bounds[i + 1]], item, shift)
+            have = best.get((i, item))
+            if got and (not have or (-got[2], got[1], got[0]) < (-have[2], have[1], have[0])):
+                best[i, item] = got
         return [(doc_ids[i], self.ids[item], *x) for (i, item), x in sorted(best.items())]
 
 
-def slices(benchmark: DataFrame):
+def slices(benchmark: DataFrame, least: int, share: float):
     """The seeds of the benchmark in slices of at most about SLICE characters."""
     size = benchmark.agg(F.sum(F.char_length("text"))).first()[0] or 0
     n = max(1, math.ceil(1.25 * size / SLICE))
     for s in range(n):
         own = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == s).select("item_id", "text").toArrow()
-        yield Seeds(own["item_id"].to_pylist(), [x or "" for x in own["text"].to_pylist()])
+        yield Seeds(own["item_id"].to_pylist(), [x or "" for x in own["text"].to_pylist()], least, share)
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, least: int = 10, share: float = 0.75) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
     """The rows of ``docs``, whole, that overlap no benchmark item."""
-    for seeds in slices(benchmark):
+    for seeds in slices(benchmark, least, share):
 
         def run(batches, seeds=seeds):
             for batch in pieces(batches):
                 h, bounds = words(batch["text"], lower=True, space=PUNCTUATION)
-                hit = {x[0] for x in seeds.search(range(batch.num_rows), h, bounds, least, share)}
+                hit = {x[0] for x in seeds.search(range(batch.num_rows), h, bounds)}
                 yield batch.filter(pa.array([i not in hit for i in range(batch.num_rows)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 10, share: float = 0.75) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
     """A row for every document and benchmark item that overlap: doc_id,
     item_id, first (word position), n_words, n_same.
 
     Words are maximal runs of letters and digits, A-Z lowered.  Test and
-    training texts meet where three spaced masks of 13 words with 8 that
-    count hash alike; around a hit the run with most same words is taken
-    in which at least ``least`` words (or ``share`` of a shorter item) and
-    ``share`` of the run are the same.  The benchmark goes to the executors in
-    slices of at most SLICE characters, one pass over docs for each, so a
-    benchmark of any size is searched whole.
+    training texts meet where spaced masks hash alike, as every overlap that
+    counts does somewhere (see MASKS); around a hit the run with most same
+    words is taken in which at least ``least`` words (or ``share`` of a
+    shorter item) and ``share`` of the run are the same.  The benchmark goes
+    to the executors in slices of at most SLICE characters, one pass over docs
+    for each, so a benchmark of any size is searched whole.
 
     Null and empty texts and items match nothing; rows with a null doc_id or
     item_id are reported as they are.  Repeated rows repeat.  Other columns
     are ignored.  Empty tables give an empty result."""
     out = None
-    for seeds in slices(benchmark):
+    for seeds in slices(benchmark, least, share):
 
         def run(batches, seeds=seeds):
             for batch in pieces(batches):
                 h, bounds = words(batch["text"], lower=True, space=PUNCTUATION)
-                rows = seeds.search(batch["doc_id"].to_pylist(), h, bounds, least, share)
+                rows = seeds.search(batch["doc_id"].to_pylist(), h, bounds)
                 yield pa.RecordBatch.from_pydict({k: pa.array([x[i] for x in rows], pa.int64()) for i, k in enumerate(("doc_id", "item_id", "first", "n_words", "n_same"))})
 
         found = docs.select("doc_id", "text").mapInArrow(run, OUT)

@@ -191,11 +191,49 @@ def test_decontamination(docs, none, spark):
     assert decontaminate.overlaps(none, bench).count() == 0 == decontaminate.overlaps(docs, bench.limit(0)).count()
 
 
+def test_decontamination_masks():
+    import itertools
+
+    import numpy as np
+
+    def holds(runs, n, masks):
+        out = np.zeros(len(runs), bool)
+        for m in masks:
+            for s in range(n - len(m) + 1):
+                out |= (runs >> s) & int(m, 2) == int(m, 2)
+        return out.all()
+
+    def runs(n, need):
+        most = min(n - need, n // 4)
+        return np.array([(1 << n) - 1 - sum(1 << i for i in z) for k in range(most + 1) for z in itertools.combinations(range(1, n - 1), k)])
+
+    # every overlap of up to 27 words that begins and ends with a same word
+    assert all(holds(runs(n, 10), n, decontaminate.MASKS) for n in range(10, 28))
+    for size in range(1, 13):
+        need = decontaminate.need_of(size, 10, 0.75)
+        assert all(holds(runs(n, need), n, decontaminate.masks_of(size, 10, 0.75)) for n in range(need, size + 1))
+
+
 def found(item, doc):
     from citeflow.llm.text import PUNCTUATION, words
 
     h, bounds = words(pa.array(doc, pa.large_string()), lower=True, space=PUNCTUATION)
-    return [x[2:] for x in decontaminate.Seeds([1], [item]).search(range(len(doc)), h, bounds, 10, 0.75)]
+    return [x[2:] for x in decontaminate.Seeds([1], [item]).search(range(len(doc)), h, bounds)]
+
+
+def test_decontamination_sparse():
+    w = [f"q{i}x" for i in range(64)]
+    other = [f"o{i}" for i in range(64)]
+    item = " ".join(w)
+    assert found(item, [" ".join(other[:20] + w[7:17] + other[20:40])]) == [(20, 10, 10)]
+    assert found(item, [" ".join(other[:20] + w[7:16] + other[20:40])]) == []
+    for n in (16, 20, 30, 42, 60):
+        for phase in range(4):
+            text = [other[i] if i % 4 == phase else w[i] for i in range(n)]
+            assert [x[2] for x in found(" ".join(w[:n]), ["z " + " ".join(text) + " z"])] == [sum(i % 4 != phase for i in range(n))]
+    # shorter items: three quarters of their words, up
+    assert found(" ".join(w[:12]), [" ".join(["z", *w[:3], "z", *w[4:7], "z", *w[8:11], "z"])]) == [(1, 11, 9)]
+    assert found(" ".join(w[:8]), [" ".join([*w[:2], "z", *w[3:5], "z", *w[6:8]])]) == [(0, 8, 6)]
 
 
 def test_decontamination_longer_hit():
@@ -203,6 +241,13 @@ def test_decontamination_longer_hit():
     text = [x if i < 14 or i % 5 in (0, 2, 4) else "other" for i, x in enumerate(w)]
     (first, n, same), *rest = found(" ".join(w), [" ".join(text), " ".join(text[:14])])
     assert first == 0 and same >= 14 and same >= 0.75 * n and rest == [(0, 14, 14)]
+    rng = random.Random(6)
+    for _ in range(200):
+        hit = [rng.random() < 0.72 for _ in range(rng.randint(13, 50))]
+        runs = [(sum(hit[a:b]), b - a) for a in range(len(hit)) for b in range(a + 1, len(hit) + 1)]
+        want = max((m for m, n in runs if m >= 10 and m >= 0.75 * n), default=0)
+        got = found(" ".join(w[: len(hit)]), [" ".join(x if y else "other" for x, y in zip(w, hit))])
+        assert [x[2] for x in got] == ([want] if want else [])
 
 
 def test_licenses(docs, none, spark):
