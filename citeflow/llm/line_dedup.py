@@ -21,7 +21,8 @@ WILD = U(0x6A09E667F3BCC909)
 def parsed(depth: int, least_words: int):
     """Lines of documents with the leaf of the tree they fall to (the number
     of words and the first ``depth`` of them), a hash of the line and its
-    words; words with a digit are variable fields from the start."""
+    words; words with a digit are variable fields from the start, but not in
+    a line of up to ``depth`` words that has no others."""
 
     def lines_of(batch: pa.RecordBatch) -> pa.RecordBatch:
         split = [(x or "").split("\n") for x in batch["text"].to_pylist()]
@@ -30,7 +31,10 @@ def parsed(depth: int, least_words: int):
         column = pa.array([y for x in split for y in x], pa.large_string())
         h, bounds, s, e = words(column, spans=True)
         digits = np.concatenate(([0], np.cumsum(_DIGIT[text_bytes(column)[0]], dtype=np.int32)))
-        h = np.where(digits[e] > digits[s], WILD, h)
+        varies = digits[e] > digits[s]
+        fixed = np.concatenate(([0], np.cumsum(~varies)))
+        bare = (fixed[bounds[1:]] == fixed[bounds[:-1]]) & (np.diff(bounds) <= depth)
+        h = np.where(varies & ~np.repeat(bare, np.diff(bounds)), WILD, h)
         up, down = powers(0xC2B2AE3D27D4EB4F, len(h) + 1)
         total = np.zeros(len(h) + 1, np.uint64)
         np.cumsum(h * up[: len(h)], out=total[1:])
@@ -83,7 +87,7 @@ def grown(similar: float):
     return run
 
 
-def recurring(docs: DataFrame, least_docs: int = 10, least_words: int = 4, depth: int = 3, similar: float = 0.8) -> DataFrame:
+def recurring(docs: DataFrame, least_docs: int = 4, least_words: int = 1, depth: int = 3, similar: float = 0.8) -> DataFrame:
     """Lines to drop: key (a hash of the row's doc_id and text) and line
     (from 0), with the line's template and its number of documents."""
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
@@ -104,7 +108,7 @@ def drop_recurring(docs: DataFrame, **settings) -> DataFrame:
     ``parsed`` and ``grown``).  Templates that stand in ``least_docs``
     documents or more are dropped everywhere but in the document with the
     smallest doc_id, which keeps them.  Lines of fewer than ``least_words``
-    words, empty lines and null texts stay as they are.  Rows that repeat
+    words (by default empty ones) and null texts stay as they are.  Rows that repeat
     another row whole are one document here: what one keeps, all keep.  A
     template's documents are added up over its distinct lines.  An empty
     table gives an empty result."""

@@ -346,6 +346,14 @@ def test_lines(docs, none, spark):
     assert line_dedup.drop_recurring(none).columns == none.columns
 
 
+def test_short_and_rarer_lines(spark):
+    often = ["Done.", "All rights reserved.", "See page 7", "12 30", "one footer line of few documents"]
+    rows = [(i, "\n".join([f"own {'abcdefgh'[i]}", "", *(often if i < 4 else []), f"{i} 1{i}", *(["in three documents only"] if i < 3 else [])])) for i in range(8)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {k: "\n".join(x for x in t.split("\n") if k == 0 or x not in often) for k, t in rows}
+    assert got == want
+
+
 def test_urls(spark):
     urls = [None, "", "nothing", "http://a.org", "HTTP://A.ORG/x?y#z", "http://example.org/es/1", "https://www.Example.org/en/12", "http://b.com/fr/1", "http://b.com/de/1", "http://badexample.org/es/1", "http://x.net/a?b=http://c.org/", "http://c.com?x/fr/", "http://org/x"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
