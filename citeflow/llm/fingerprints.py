@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
-#: Exact lanes modulo 2**32, and packed sums (three counters modulo 2**16 each) for likeness.
-EXACT, PACKED = 16, 32
-_MASK = 1 | 1 << 16 | 1 << 32
+#: Exact lanes modulo 2**32, and packed sums (two counters of 32 bits each) for likeness.
+EXACT, PACKED = 16, 48
+_MASK = 1 | 1 << 32
 
 
 def _features(body: Column) -> Column:
@@ -38,8 +38,8 @@ def fingerprints(bodies: DataFrame, keys: list[str]) -> DataFrame:
     a struct of exact and packed sums and the number n of word runs.
 
     The sum of two prints is the print of both texts' paragraphs together:
-    exact lanes add modulo 2**32, packed counters modulo 2**16, so paragraphs
-    can be inserted and deleted."""
+    exact lanes add modulo 2**32, packed counters as numbers, which texts of
+    under 2**31 words can't fill, so paragraphs can be inserted and deleted."""
     rows = bodies.select(*keys, F.explode(_features(F.coalesce("body", F.lit("")))).alias("f")).select(*keys, "f.h", "f.d")
     out = rows.groupBy(*keys).agg(*_sums())
     exact = F.array(*(F.pmod(F.col(f"e{i}"), F.lit(1 << 32)) for i in range(EXACT)))
@@ -48,15 +48,15 @@ def fingerprints(bodies: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def text_of(p: Column) -> Column:
-    """A print in hex: 16 exact lanes, then 32 packed sums."""
-    part = lambda a, n: F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit((1 << 4 * n) - 1))), n, "0")), "")
-    return F.concat(part(p["exact"], 8), part(p["packed"], 12))
+    """A print in hex: 16 exact lanes, then 48 packed sums."""
+    part = lambda a, n: F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), n, "0")), "")
+    return F.concat(part(p["exact"], 8), part(p["packed"], 16))
 
 
 def _signed(p: Column) -> Column:
     """The 96 counters as signed sums of +1 and -1 over word runs."""
-    one = lambda s: F.transform(p["packed"], lambda x: F.pmod(F.lit(2) * F.shiftright(x, s).bitwiseAND(F.lit(0xFFFF)) - p["n"] + F.lit(1 << 15), F.lit(1 << 16)) - F.lit(1 << 15))
-    return F.concat(one(0), one(16), one(32))
+    one = lambda s: F.transform(p["packed"], lambda x: F.lit(2) * F.shiftright(x, s).bitwiseAND(F.lit(0xFFFFFFFF)) - p["n"])
+    return F.concat(one(0), one(32))
 
 
 def likeness(p: Column, q: Column) -> Column:

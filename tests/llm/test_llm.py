@@ -177,6 +177,13 @@ def test_fingerprints(docs, none, spark):
     assert fingerprints.edited(two.union(two)).count() == 2
 
 
+def test_fingerprints_of_long_texts(spark):
+    line = "one two three four five six seven eight nine ten"
+    texts = ["\n".join([line] * 10_000), " ".join(f"w{i}" for i in range(2000))]
+    got = {r["doc_id"]: r for r in fingerprints.edited(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0]["near_edited"] > 0.99 and got[0]["near_next"] < 0.5
+
+
 def test_decontamination(docs, none, spark):
     rng = random.Random(9)
     item = " ".join(f"q{rng.randrange(999)}x{i}" for i in range(30))
