@@ -273,6 +273,21 @@ def test_licenses(docs, none, spark):
     assert licenses.scan(docs).count() == 0 == licenses.scan(none).count()
 
 
+def test_licenses_inside(spark):
+    mit = licenses.TEMPLATES["MIT-text"]
+    flat = lambda x: " ".join(x.split())
+    texts = [
+        "Some prose of its own comes first here.\n" + "".join(f"more{i} words{i} of{i}\n" for i in range(60)) + "MIT License\n\nCopyright (c) 2020 Someone\n\n" + mit + "\nand prose again\n" + "".join(f"other{i} words{i}\n" for i in range(60)),
+        "This little package is released under the MIT License and comes with no support at all, sorry.",
+        "See the notes below. Licensed under the Apache\nLicense, Version 2.0. More text follows here.",
+        flat(licenses.TEMPLATES["MIT-text"].split("\n\n")[0]),
+        "Nothing is released under a license of any kind here, and all rights are open.",
+        "".join(f"Some{i} words{i} first. " for i in range(30)) + flat(licenses.TEMPLATES["Apache-2.0-header"]) + " Then it goes on. " * 9,
+    ]
+    got = sorted((r["doc_id"], r["line"], r["license"]) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert got == [(0, 65, "MIT-text"), (1, 0, "MIT"), (2, 0, "Apache-2.0"), (3, 0, "MIT-permission"), (5, 0, "Apache-2.0-header")]
+
+
 def test_oracles(docs, spark):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     rows += [(1000, "x\n" + "All rights reserved. " * 90), (1001, "licensed under CC BY 4.0.\nLicensed under the Apache License, version 2.0")]
