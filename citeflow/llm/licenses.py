@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 # Short public licence notices, and full texts and headers.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
@@ -57,6 +59,25 @@ def cues(known: list[tuple[str, list[str]]], least: float) -> list[str]:
     return out
 
 
+def pattern(words: list[str]) -> str:
+    """A regular expression for texts with any of the words; they share their
+    prefixes in a tree, which is tried where a word begins only."""
+    tree: dict = {}
+    for w in words:
+        at = tree
+        for c in w:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def told(at: dict) -> str:
+        if "" in at:
+            return ""
+        parts = [re.escape(c) + told(x) for c, x in sorted(at.items())]
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+    return f"(?:^|[^a-z0-9]){told(tree)}"
+
+
 def let(x: Column, f) -> Column:
     """f(x), with x computed once."""
     return F.element_at(F.transform(F.array(x), f), 1)
@@ -123,7 +144,8 @@ def inside(docs: DataFrame, shape: Column, least: float) -> DataFrame:
     out = out.select("doc_id", "lines", F.explode(F.array(F.struct(F.flatten("lines").alias("words"), F.flatten(F.transform("lines", lambda w, i: F.transform(w, lambda _: i))).alias("at")))).alias("x"))
     out = out.select("doc_id", "lines", "x.at", F.explode(F.array(pairs(F.col("x.words")))).alias("grams"))
     out = out.select("doc_id", "lines", "at", "grams", F.explode(F.array(F.array_distinct("grams"))).alias("own"))
-    near = F.filter(shape, lambda t: F.size(F.array_intersect("own", t["grams"])) >= F.lit(least / (2 - least)) * t["n"] - 1e-9)
+    need = lambda t: F.lit(least / (2 - least)) * t["n"] - 1e-9
+    near = F.filter(shape, lambda t: (F.size("own") >= need(t)) & (F.size(F.array_intersect("own", t["grams"])) >= need(t)))
     out = out.select("doc_id", "lines", "at", "grams", "own", F.explode(F.array(near)).alias("near")).where(F.size("near") > 0)
     found = F.array_sort(F.flatten(F.transform("near", lambda t: fitting(F.col("grams"), t, least))))
     out = out.select("doc_id", "lines", "at", "own", F.explode(F.array(found)).alias("found")).where(F.size("found") > 0)
@@ -166,7 +188,8 @@ def scan(docs: DataFrame, least: float = 0.8, templates: dict[str, str] | None =
     most = {name: math.ceil((2 - least) / least * len(normal(text))) for name, text in (templates or TEMPLATES).items()}
     shape = F.array(*(F.struct(F.lit(name).alias("license"), F.lit(len(b)).alias("n"), F.lit(most[name]).alias("most"), F.split(F.lit(",".join(b)), ",").alias("grams")) for name, b in known))
     lo, hi = least / (2 - least) * min(sizes), (2 - least) / least * max(sizes)
-    docs = docs.select("doc_id", "text").where(F.lower("text").rlike("|".join(map(re.escape, cues(known, least)))))
+    # few texts are left, and read twice
+    docs = written(docs.select("doc_id", "text").where(F.lower("text").rlike(pattern(cues(known, least)))))
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("unit")))
     whole = F.when(F.contains("text", F.lit("\n")), F.array(F.struct(F.lit(-1).alias("line"), F.col("text").alias("unit")))).otherwise(F.array().cast("array<struct<line:int,unit:string>>"))
     units = docs.select("doc_id", F.inline(F.concat(whole, lines)))
