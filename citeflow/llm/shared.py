@@ -4,19 +4,36 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_RUN = f"citeflow-{uuid.uuid4().hex}"
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary one is set only where
-    it is unset, as in tests on one machine."""
+    """This driver's own folder under spark.checkpoint.dir, deleted when the
+    driver ends.  Where the setting is unset, as in tests, a temporary folder
+    is set; on a cluster, where executors don't share one, that's an error."""
     have = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not have:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         have = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", have)
-    return have
+    own = f"{have}/{_RUN}"
+    path, fs = _file_system(spark, own)
+    if not fs.exists(path):
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return own
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -24,27 +41,51 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for t in tables:
+        path, fs = _file_system(t.sparkSession, _paths.pop(t))
+        fs.delete(path, True)
+
+
+def whole(docs: DataFrame, *more: Column) -> DataFrame:
+    """``docs`` as one column ``row`` beside columns of our own, so that no
+    name of theirs can clash; ``select("row.*")`` gives them back."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *more)
+
+
+def key_of() -> Column:
+    """A document: its doc_id and its text."""
+    return F.xxhash64("doc_id", "text")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for edges (a, b): the smallest node reachable.
 
-    Alternating large-star and small-star: every round links nodes to the
-    smallest neighbour, and the rounds grow with the logarithm of the longest
-    path.  A hub's neighbours are never gathered: each round is joins and
-    minimum aggregations only."""
+    Alternating large-star and small-star until nothing changes any more: every
+    round links nodes to the smallest neighbour, and the rounds grow with the
+    logarithm of the longest path.  A hub's neighbours are never gathered:
+    each round is joins and minimum aggregations only."""
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     last = None
-    for _ in range(most_rounds):
+    while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        edges = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = edges.groupBy("a").agg(F.min("b").alias("m"))
-        edges = written(edges.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        stars = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = stars.groupBy("a").agg(F.min("b").alias("m"))
+        new = written(stars.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        forget(edges)
+        edges = new
         # done when every node hangs on one root that hangs on nothing
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(state) == last:
+        state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if state == last:
             break
-        last = tuple(state)
-    return edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.col("b").alias("component"))
+        last = state
+    out = written(edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.col("b").alias("component")))
+    forget(edges)
+    return out
