@@ -7,12 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import key_of, whole, written
 from .text import mix, pieces, powers, text_bytes, words
 
 U = np.uint64
 LINES = "key long, doc_id long, line int, leaf long, body long, cells binary"
-TEMPLATE = "leaf long, body long, template long, n_docs long, first_key long, first_doc long"
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 WILD = U(0x6A09E667F3BCC909)
@@ -20,9 +19,10 @@ WILD = U(0x6A09E667F3BCC909)
 
 def parsed(depth: int, least_words: int):
     """Lines of documents with the leaf of the tree they fall to (the number
-    of words and the first ``depth`` of them), a hash of the line and its
-    words; words with a digit are variable fields from the start, but not in
-    a line of up to ``depth`` words that has no others."""
+    of words and the first ``depth`` of them), a hash of the line and, for the
+    first of its kind in the document, its words; words with a digit are
+    variable fields from the start, but not in a line of up to ``depth`` words
+    that has no others."""
 
     def lines_of(batch: pa.RecordBatch) -> pa.RecordBatch:
         split = [(x or "").split("\n") for x in batch["text"].to_pylist()]
@@ -56,47 +56,57 @@ def parsed(depth: int, least_words: int):
     return run
 
 
-def grown(similar: float):
-    """The templates of one leaf: its distinct lines, most frequent first,
-    each join the first template that agrees in ``similar`` of the words or
-    start their own; words that differ become variable."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (-r["n_docs"], r["body"]))
-        lines = np.array([np.frombuffer(r["cells"], np.uint64) for r in rows])
-        shapes, of = np.zeros((0, lines.shape[1]), np.uint64), []
-        for x in lines:
-            same = ((shapes == x) | (shapes == WILD)).mean(1) if len(shapes) else np.zeros(0)
-            best = int(np.argmax(same)) if len(same) else -1
-            if best >= 0 and same[best] >= similar:
-                shapes[best] = np.where(shapes[best] == x, x, WILD)
-            else:
-                shapes, best = np.vstack((shapes, x)), len(shapes)
-            of.append(best)
-        n, first = {}, {}
-        for r, t in zip(rows, of, strict=True):
-            n[t] = n.get(t, 0) + r["n_docs"]
-            mine = (r["first_doc"] is not None, r["first_doc"] or 0, r["first_key"])
-            first[t] = min(first.get(t, mine), mine)
-        lead = {}
-        for r, t in zip(rows, of, strict=True):
-            lead.setdefault(t, r["body"])
-        cols = {"leaf": [r["leaf"] for r in rows], "body": [r["body"] for r in rows], "template": [lead[t] for t in of], "n_docs": [n[t] for t in of], "first_key": [first[t][2] for t in of], "first_doc": [first[t][1] for t in of]}
-        return pa.table({k: pa.array(v, pa.int64()) for k, v in cols.items()})
+def fields(depth: int):
+    """The words of distinct lines below the tree's depth: a row for each with
+    its place, and a hash of the leaf, the place and the word."""
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1 << 14):
+                part = batch.slice(a, 1 << 14)
+                cells = [np.frombuffer(x, np.uint64)[depth:] for x in part["cells"].to_pylist()]
+                sizes = [len(x) for x in cells]
+                row = np.repeat(np.arange(len(cells)), sizes)
+                place = np.concatenate([np.arange(n) for n in sizes] or [np.zeros(0, int)]) + depth
+                h = np.concatenate([*cells, np.zeros(0, np.uint64)])
+                leaf = part["leaf"].to_numpy().view(np.uint64)[row] + place.astype(np.uint64) * U(0x9E3779B97F4A7C15)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_pydict({"leaf": part["leaf"].take(take), "body": part["body"].take(take), "n": part["n"].take(take), "blank": pa.array(mix(leaf).view(np.int64)), "word": pa.array(mix(leaf ^ mix(h)).view(np.int64)), "wild": pa.array(h == WILD)})
 
     return run
 
 
+def templates(bodies: DataFrame, least_docs: int, depth: int, similar: float) -> DataFrame:
+    """(leaf, body, template) of distinct lines ``bodies`` (leaf, body, n,
+    cells).  A word is fixed where ``least_docs`` lines or more of its leaf
+    have it at its place, else a variable field; a template is a leaf and its
+    lines' fixed words, with variable fields at no more than 1 - ``similar``
+    of all places.  Every step adds up by key, so a leaf of any size is never
+    one task's."""
+    split_up = bodies.select("leaf", "body", "n", "cells").mapInArrow(fields(depth), "leaf long, body long, n long, blank long, word long, wild boolean")
+    common = split_up.where("not wild").groupBy("word").agg(F.sum("n").alias("k")).where(F.col("k") >= least_docs).select("word", F.lit(True).alias("fixed"))
+    marked = split_up.join(common, "word", "left").select("leaf", "body", F.when(F.col("wild") | F.col("fixed"), F.col("word")).otherwise(F.col("blank")).alias("part"), F.when(F.col("wild") | F.col("fixed"), 0).otherwise(1).alias("varies"))
+    shapes = marked.groupBy("leaf", "body").agg(F.bit_xor("part").alias("shape"), F.sum("varies").alias("varies"))
+    short = F.length("cells") <= 8 * depth
+    out = bodies.select("leaf", "body", (F.length("cells") / 8).alias("words"), short.alias("short")).join(shapes, ["leaf", "body"], "left")
+    out = out.where(F.coalesce("varies", F.lit(0)) <= F.lit(1 - similar) * F.col("words") + 1e-9)
+    return out.select("leaf", "body", F.when(F.col("short"), F.col("body")).otherwise(F.xxhash64("leaf", "shape")).alias("template"))
+
+
 def recurring(docs: DataFrame, least_docs: int = 4, least_words: int = 1, depth: int = 3, similar: float = 0.8) -> DataFrame:
-    """Lines to drop: key (a hash of the row's doc_id and text) and line
-    (from 0), with the line's template and its number of documents."""
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
+    """Lines to drop: key (of the row's doc_id and text) and line (from 0),
+    with the line's template and its number of documents."""
+    keyed = docs.select(key_of().alias("key"), "doc_id", "text")
     lines = keyed.mapInArrow(parsed(depth, least_words), LINES)
     busy = lines.where("cells is not null").groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs).select("leaf")
     lines = written(lines.join(written(busy), "leaf"))
-    bodies = lines.where("cells is not null").groupBy("leaf", "body").agg(F.count(F.lit(1)).alias("n_docs"), F.min_by("key", F.struct("doc_id", "key")).alias("first_key"), F.min("doc_id").alias("first_doc"), F.first("cells").alias("cells"))
-    shapes = written(bodies.groupBy("leaf").applyInArrow(grown(similar), TEMPLATE).where(F.col("n_docs") >= least_docs).drop("first_doc"))
-    return lines.join(shapes, ["leaf", "body"]).where("key <> first_key").select("key", "line", "template", "n_docs")
+    bodies = written(lines.where("cells is not null").groupBy("leaf", "body").agg(F.count(F.lit(1)).alias("n"), F.first("cells").alias("cells")))
+    told = lines.select("key", "doc_id", "line", "leaf", "body").join(templates(bodies, least_docs, depth, similar), ["leaf", "body"])
+    told = written(told.select("key", "doc_id", "line", "template"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    known = told.select("template", "key", "doc_id").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"), first.alias("first"))
+    known = known.where(F.col("n_docs") >= least_docs).select("template", "n_docs", F.col("first.key").alias("first_key"))
+    return told.join(known, "template").where("key <> first_key").select("key", "line", "template", "n_docs")
 
 
 def drop_recurring(docs: DataFrame, **settings) -> DataFrame:
@@ -104,25 +114,25 @@ def drop_recurring(docs: DataFrame, **settings) -> DataFrame:
     and their names, stay.  n_chars, where there is one, is counted anew for
     texts that lose lines.
 
-    A line's template is the one its leaf of the tree gives it (see
-    ``parsed`` and ``grown``).  Templates that stand in ``least_docs``
-    documents or more are dropped everywhere but in the document with the
-    smallest doc_id, which keeps them.  Lines of fewer than ``least_words``
-    words (by default empty ones) and null texts stay as they are.  Rows that repeat
-    another row whole are one document here: what one keeps, all keep.  A
-    template's documents are added up over its distinct lines.  An empty
-    table gives an empty result."""
-    lost = recurring(docs, **settings).groupBy("key").agg(F.collect_set("line").alias("_lost"))
+    A line falls to the leaf of its number of words and its first ``depth``
+    words; there its words are fixed or variable fields (see ``templates``).
+    Templates that stand in ``least_docs`` different documents or more,
+    however often in each, are dropped everywhere but in the document with the
+    smallest doc_id (null last, then by a hash of the text), which keeps its
+    lines of them.  Lines of fewer than ``least_words`` words (by default empty ones)
+    and null texts stay as they are.  Rows that repeat doc_id and text are one
+    document: what one keeps, all keep.  An empty table gives an empty
+    result."""
+    lost = recurring(docs, **settings).groupBy("key").agg(F.collect_set("line").alias("lost"))
     # merge: this table grows with the input and is never broadcast
-    lost = written(lost).withColumnRenamed("key", "_key").hint("merge")
-    out = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(lost, "_key", "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_lost"), i)), "\n")
-    text = F.when(F.col("_lost").isNull(), F.col("text")).otherwise(kept)
-    out = out.withColumn("text", text)
+    out = whole(docs, key_of().alias("key")).join(written(lost).hint("merge"), "key", "left")
+    text = F.array_join(F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains(F.col("lost"), i)), "\n")
+    out = out.select("row", "lost", F.when(F.col("lost").isNull(), F.col("row.text")).otherwise(text).alias("text"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        n = F.when(F.col("_lost").isNull(), F.col("n_chars")).otherwise(F.char_length("text"))
-        out = out.withColumn("n_chars", n.cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        n = F.when(F.col("lost").isNull(), F.col("row.n_chars")).otherwise(F.char_length("text"))
+        new["n_chars"] = n.cast(docs.schema["n_chars"].dataType)
+    return out.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
