@@ -24,27 +24,28 @@ def tokens(column):
     return [(x % np.uint64(CELLS)).astype(np.int32) for x in (*stems, h)], bounds
 
 
-def segments(at: np.ndarray, gain: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first, end, score) of a sequence that
-    scores ``gain`` at the sorted places ``at`` and -drift anywhere else.
-
-    Linear in the number of places: a stack holds candidates with the running
-    sums before and after them; a new one absorbs those it improves on."""
-    stack: list[tuple[float, float, int, int]] = []
-    total, last = 0.0, -1
-    for i, g in zip(at.tolist(), gain.tolist(), strict=True):
-        total -= drift * (i - last - 1)
-        before, total, first, last = total, total + g, i, i
+def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (first, end, score) of a sequence.
+
+    They begin and end at positive scores.  A stack holds candidates with the
+    running sums before and after them, and where the nearest candidate with a
+    smaller sum before it lies; a new one absorbs those it improves on, so the
+    whole scan is linear."""
+    total = np.concatenate(([0.0], np.cumsum(scores)))
+    at = np.flatnonzero(scores > 0)
+    stack: list[tuple[float, float, int, int, int]] = []
+    for i, before, after in zip(at.tolist(), total[at].tolist(), total[at + 1].tolist(), strict=True):
+        first, j = i, len(stack) - 1
         while True:
-            j = len(stack) - 1
             while j >= 0 and stack[j][0] >= before:
-                j -= 1
-            if j < 0 or stack[j][1] >= total:
-                stack.append((before, total, first, i + 1))
+                j = stack[j][4]
+            if j < 0 or stack[j][1] >= after:
+                stack.append((before, after, first, i + 1, j))
                 break
-            before, _, first, _ = stack[j]
+            before, _, first, _, up = stack[j]
             del stack[j:]
-    return [(a, b, r - x) for x, r, a, b in stack]
+            j = up
+    return [(a, b, r - x) for x, r, a, b, _ in stack]
 
 
 class Weights:
@@ -54,7 +55,7 @@ class Weights:
 
     def __init__(self, toxic: np.ndarray, clean: np.ndarray):
         self.base = (toxic[0].sum() + 1) / (toxic[0].sum() + clean[0].sum() + 2)
-        self.toxic, self.all = toxic, toxic + clean
+        self.toxic, self.all, self.tail, self.size = toxic, toxic + clean, 1.0, 0.0
 
     def odds(self, cells) -> np.ndarray:
         share = np.full(len(cells[0]), self.base)
@@ -66,32 +67,30 @@ class Weights:
         """lambda with mean(exp(lambda * score)) = 1 over clean tokens."""
         lo, hi = 1e-3, 8.0
         if not len(odds) or odds.max() <= 0:
-            self.tail = 1.0
             return
         for _ in range(60):
             mid = (lo + hi) / 2
             lo, hi = (mid, hi) if np.exp(mid * odds).mean() < 1 else (lo, mid)
         self.tail = lo
 
+    def calibrate_size(self, best: np.ndarray) -> None:
+        """log K of the extreme-value law, from clean texts' best segments
+        less the log of their length: their mean is Euler's constant above."""
+        if len(best):
+            self.size = float(best.mean()) - 0.5772156649015329
+
     def evidence(self, column):
-        """Per document: its features and its significant segments."""
+        """Per document: its features and its significant segments, each with
+        the negative log of its E-value under the extreme-value law."""
         cells, bounds = tokens(column)
         odds = self.odds(cells)
         features, passages = np.zeros((len(bounds) - 1, 4)), []
         for i in range(len(bounds) - 1):
             own = odds[bounds[i] : bounds[i + 1]]
-            at = np.flatnonzero(own > 0)
-            size = math.log(len(own) + 1)
-            kept, every = [], [0.0]
-            if len(at):
-                drift = -own[own <= 0].mean() if len(at) < len(own) else DRIFT
-                for a, b, s in segments(at, own[at], drift):
-                    # E-value of the segment under the extreme-value law
-                    log_e = size - self.tail * s
-                    every.append(-log_e)
-                    if log_e < math.log(SIGNIFICANT):
-                        kept.append({"first": a, "end": b, "evidence": float(-log_e)})
-            features[i] = (1.0, max(every), math.log1p(sum(x["evidence"] for x in kept)), len(kept) / (1 + len(own) / 100))
+            size = math.log(len(own) + 1) + self.size
+            found = [(a, b, self.tail * s - size) for a, b, s in segments(own)]
+            kept = [{"first": a, "end": b, "evidence": e} for a, b, e in found if e > -math.log(SIGNIFICANT)]
+            features[i] = (1.0, max((e for *_, e in found), default=-size), math.log1p(sum(x["evidence"] for x in kept)), len(kept) / (1 + len(own) / 100))
             passages.append(kept)
         return features, passages
 
@@ -117,10 +116,11 @@ def _held(column):
 def fit(docs: DataFrame, labels: DataFrame, most: int = 20000):
     """(weights, coefficients) from at most ``most`` labelled training rows:
     the first by hash of doc_id.  Three quarters of them give the token
-    counts, the rest the calibration.  A doc_id labelled both ways counts as
-    toxic; labels that are null or without a document are left out."""
+    counts, the rest the calibration.  Any label but 0 is toxic, and so is a
+    doc_id labelled both ways; labels that are null or without a document are
+    left out."""
     rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~_held(F.col("doc_id")))
-    rows = rows.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    rows = rows.groupBy("doc_id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     sample = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
     part = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(4))
@@ -142,6 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20000):
     table[counted["cell"].to_numpy()] = counted["n"].to_numpy()
     table = table.reshape(2, len(STEMS) + 1, CELLS)
     weights = Weights(table[1], table[0])
+
     # the calibration texts: bounded by the sample, reduced to scores on the executors
     def tail(batches):
         for batch in pieces(batches):
@@ -158,9 +159,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20000):
             x = weights.evidence(batch["text"])[0]
             yield pa.RecordBatch.from_pydict({"x": pa.array(list(x), pa.list_(pa.float64())), "toxic": batch["toxic"]})
 
-    got = sample.where(part == 0).select("text", "toxic").mapInArrow(score, "x array<double>, toxic int").toArrow()
-    x = np.array(got["x"].to_pylist(), float).reshape(-1, 4)
-    y = got["toxic"].to_numpy().astype(float)
+    def scored():
+        got = sample.where(part == 0).select("text", "toxic").mapInArrow(score, "x array<double>, toxic int").toArrow()
+        return np.array(got["x"].to_pylist(), float).reshape(-1, 4), got["toxic"].to_numpy().astype(float)
+
+    x, y = scored()
+    weights.calibrate_size(x[y == 0, 1])
+    x, y = scored()
     if not len(y):
         return weights, np.array([-2.0, 0, 0, 0])
     return weights, logistic(x, y)
