@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import repeated, written
 
 #: Exact lanes modulo 2**32, and packed sums (two counters of 32 bits each) for likeness.
 EXACT, PACKED = 16, 48
 _MASK = 1 | 1 << 32
+#: What tells documents apart, in their order: no doc_id, the doc_id, a hash of the text.
+ME = ("none", "id", "key")
 
 
 def _features(body: Column) -> Column:
@@ -69,20 +71,19 @@ def likeness(p: Column, q: Column) -> Column:
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
-    """Every distinct (_id, _key) with the one before and after it by
-    ascending doc_id (nulls last), the ends meeting.  Ids only are sorted,
-    in ranges; a table of one row a range links their ends."""
-    ids = docs.groupBy("_id", "_key").agg(F.first("_n").alias("n"), F.count(F.lit(1)).alias("rows"))
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = written(ids.repartitionByRange(parts, "_id", "_key").withColumn("_p", F.spark_partition_id()))
-    me = F.struct("_id", "_key")
-    within = Window.partitionBy("_p").orderBy("_id", "_key")
-    row = ids.select("_id", "_key", "n", "rows", "_p", F.lag(me).over(within).alias("prev"), F.lead(me).over(within).alias("next"))
-    ends = ids.groupBy("_p").agg(F.min(me).alias("low"), F.max(me).alias("high"))
-    along, all_ = Window.orderBy("_p"), Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends = ends.select("_p", F.coalesce(F.lag("high").over(along), F.last("high").over(all_)).alias("_before"), F.coalesce(F.lead("low").over(along), F.first("low").over(all_)).alias("_after"))
-    return row.join(F.broadcast(ends), "_p").select("_id", "_key", "n", "rows", F.coalesce("prev", "_before").alias("prev"), F.coalesce("next", "_after").alias("next"))
+    """Every distinct (none, id, key) with its n and rows, and the one before
+    and after it by ascending id (nulls last), the ends meeting.  Ids only are
+    sorted, in ranges; a table of one row a range links their ends."""
+    ids = docs.groupBy(*ME).agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = written(ids.repartitionByRange(parts, *ME).withColumn("p", F.spark_partition_id()))
+    me = F.struct(*ME)
+    within = Window.partitionBy("p").orderBy(*ME)
+    row = ids.select(*ME, "n", "rows", "p", F.lag(me).over(within).alias("prev"), F.lead(me).over(within).alias("next"))
+    ends = ids.groupBy("p").agg(F.min(me).alias("low"), F.max(me).alias("high"))
+    along, all_ = Window.orderBy("p"), Window.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = ends.select("p", F.coalesce(F.lag("high").over(along), F.last("high").over(all_)).alias("before"), F.coalesce(F.lead("low").over(along), F.first("low").over(all_)).alias("after"))
+    return row.join(F.broadcast(ends), "p").select(*ME, "n", "rows", F.coalesce("prev", "before").alias("prev"), F.coalesce("next", "after").alias("next"))
 
 
 def edited(docs: DataFrame) -> DataFrame:
@@ -91,30 +92,33 @@ def edited(docs: DataFrame) -> DataFrame:
 
     Documents stand by ascending doc_id, nulls last, then by a hash of the
     text.  Null texts are empty.  Rows that repeat doc_id and text are one
-    document and give one row.  Other columns are ignored.  An empty table
-    gives an empty result; a single document is its own next one."""
+    document, whose result stands as often as they do.  Other columns are
+    ignored.  An empty table gives an empty result; a single document is its
+    own next one."""
     text = F.coalesce("text", F.lit(""))
-    all_ = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_id"), F.xxhash64(text).alias("_key"), text.alias("text"))
-    links = written(neighbours(all_.withColumn("_n", F.char_length("text"))))
-    if (links.agg(F.max("rows")).first()[0] or 0) > 1:
-        all_ = all_.dropDuplicates(["_id", "_key"])
-    need = links.select(F.col("next._id").alias("_id"), F.col("next._key").alias("_key"), F.col("_id").alias("to"), F.col("_key").alias("to_key"), "prev", "n")
+    all_ = docs.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    links = written(neighbours(all_.withColumn("n", F.char_length("text"))))
+    again = (links.agg(F.max("rows")).first()[0] or 0) > 1
+    if again:
+        all_ = all_.dropDuplicates(list(ME))
     cut = F.floor(F.col("n") / 4).cast("int")
-    heads = all_.join(need, ["_id", "_key"]).select(F.col("to").alias("_id"), F.col("to_key").alias("_key"), "prev", "n", F.substring(F.col("text"), F.lit(1), cut).alias("head"))
-    both = all_.join(heads, ["_id", "_key"])
+    need = links.select(*(F.col(f"next.{c}").alias(c) for c in ME), F.struct(*ME).alias("to"), "prev", "n", "rows")
+    heads = all_.join(need, list(ME)).select(*(F.col(f"to.{c}").alias(c) for c in ME), "prev", "n", "rows", F.substring(F.col("text"), F.lit(1), cut).alias("head"))
+    both = all_.join(heads, list(ME))
     new = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n") - cut).cast("int")), F.col("head"))
-    keys = ["_id", "_key", "prev", "n_chars", "sha", "kind"]
-    both = both.select("_id", "_key", "prev", F.col("n").cast("long").alias("n_chars"), "text", new.alias("new")).withColumn("sha", F.sha2(F.col("new").cast("binary"), 256))
-    bodies = both.select("_id", "_key", "prev", "n_chars", "sha", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("body")), F.struct(F.lit(1).alias("kind"), F.col("new").alias("body")))).alias("b")).select("_id", "_key", "prev", "n_chars", "sha", "b.kind", "b.body")
-    prints = fingerprints(bodies, keys)
+    keys = [*ME, "prev", "rows", "n_chars", "sha"]
+    both = both.select(*ME, "prev", "rows", F.col("n").cast("long").alias("n_chars"), "text", new.alias("new")).withColumn("sha", F.sha2(F.col("new").cast("binary"), 256))
+    bodies = both.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("body")), F.struct(F.lit(1).alias("kind"), F.col("new").alias("body")))).alias("b")).select(*keys, "b.kind", "b.body")
+    prints = fingerprints(bodies, [*keys, "kind"])
     own = F.max(F.when(F.col("kind") == 0, F.col("print")))
-    one = prints.groupBy("_id", "_key").agg(F.first("prev").alias("prev"), F.first("n_chars").alias("n_chars"), F.first("sha").alias("edited_sha256"), own.alias("own"), F.max(F.when(F.col("kind") == 1, F.col("print"))).alias("new"))
-    none = F.lit(None)
-    mine = F.struct(F.col("_id").alias("_id"), F.col("_key").alias("_key"), F.struct("n_chars", "edited_sha256", "own", "new").alias("self"), none.cast(prints.schema["print"].dataType).alias("other"))
-    told = F.struct(F.col("prev._id").alias("_id"), F.col("prev._key").alias("_key"), none.cast("struct<n_chars:bigint,edited_sha256:string,own:struct<exact:array<bigint>,packed:array<bigint>,n:bigint>,new:struct<exact:array<bigint>,packed:array<bigint>,n:bigint>>").alias("self"), F.col("own").alias("other"))
-    sent = one.select(F.inline(F.array(mine, told)))
-    met = sent.groupBy("_id", "_key").agg(F.max("self").alias("s"), F.max("other").alias("other"))
-    return met.select(F.when(F.col("_id") < (1 << 63) - 1, F.col("_id")).alias("doc_id"), "s.n_chars", "s.edited_sha256", text_of(F.col("s.own")).alias("fingerprint"), text_of(F.col("s.new")).alias("edited_fingerprint"), likeness(F.col("s.own"), F.col("s.new")).alias("near_edited"), likeness(F.col("s.own"), F.col("other")).alias("near_next"))
+    one = prints.groupBy(*ME).agg(F.first("prev").alias("prev"), F.first("rows").alias("rows"), F.first("n_chars").alias("n_chars"), F.first("sha").alias("edited_sha256"), own.alias("own"), F.max(F.when(F.col("kind") == 1, F.col("print"))).alias("new"))
+    self = F.struct("rows", "n_chars", "edited_sha256", "own", "new")
+    nothing = lambda c: F.when(F.lit(False), c)
+    mine = F.struct(*ME, self.alias("self"), nothing(F.col("own")).alias("other"))
+    told = F.struct(*(F.col(f"prev.{c}").alias(c) for c in ME), nothing(self).alias("self"), F.col("own").alias("other"))
+    met = one.select(F.inline(F.array(mine, told))).groupBy(*ME).agg(F.max("self").alias("s"), F.max("other").alias("other"))
+    out = met.select(F.when(~F.col("none"), F.col("id")).alias("doc_id"), "s.n_chars", "s.edited_sha256", text_of(F.col("s.own")).alias("fingerprint"), text_of(F.col("s.new")).alias("edited_fingerprint"), likeness(F.col("s.own"), F.col("s.new")).alias("near_edited"), likeness(F.col("s.own"), F.col("other")).alias("near_next"), "s.rows")
+    return repeated(out, "rows") if again else out.drop("rows")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

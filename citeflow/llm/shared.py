@@ -64,6 +64,13 @@ def key_of() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+def repeated(df: DataFrame, times: str) -> DataFrame:
+    """Every row as often as ``times`` says, without that column; in runs, so
+    that no array grows with the copies."""
+    out = df.withColumn(times, F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col(times) - 1, F.lit(1 << 16).cast("long")), lambda x: F.least(F.lit(1 << 16), F.col(times) - x).cast("int"))))
+    return out.withColumn(times, F.explode(F.array_repeat(F.lit(0), F.col(times)))).drop(times)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for edges (a, b): the smallest node reachable.
 

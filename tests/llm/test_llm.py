@@ -174,7 +174,7 @@ def test_fingerprints(docs, none, spark):
     two = spark.createDataFrame([(1, "a b c d\ne f g"), (2, "e f g\na b c d")], "doc_id long, text string")
     assert len({r["fingerprint"] for r in fingerprints.edited(two).collect()}) == 1
     assert fingerprints.edited(none).count() == 0
-    assert fingerprints.edited(two.union(two)).count() == 2
+    assert fingerprints.edited(two.union(two)).count() == 4
 
 
 def test_fingerprints_of_long_texts(spark):
