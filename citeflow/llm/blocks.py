@@ -4,8 +4,9 @@ Documents are dealt by hash into blocks of a bounded size.  Every block
 sends the distinct keys it holds, with their counts, to the key's range (one
 row per block and range, so a key that is everywhere costs one entry per
 block); every range adds up what it gets and answers each block in the order
-of that block's own keys.  Nothing reaches the driver, nothing is broadcast
-and no task holds more than one block or one range.
+of that block's own keys.  Nothing reaches the driver and nothing is
+broadcast.  A task holds one block, of about ``block_bytes`` or one longer
+text, or one range.
 """
 
 from __future__ import annotations
@@ -18,15 +19,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import forget, key_of, written
+
 U = np.uint64
 
 
-def deal(docs: DataFrame, block_bytes: int, columns: list[str]) -> tuple[DataFrame, int]:
-    """(docs with only ``columns`` and _block, total bytes of text)."""
-    total = docs.agg(F.sum(F.octet_length("text")).alias("n"), F.count(F.lit(1)).alias("rows")).first()
-    size = int(total["n"] or 0) + 64 * int(total["rows"] or 0)
+def deal(docs: DataFrame, block_bytes: int, columns: list[str]) -> tuple[DataFrame, int, bool]:
+    """(docs with only ``columns``, _times and _block; total bytes of text;
+    whether rows repeat).  Rows that repeat doc_id and text stand once, with
+    their number in _times, so copies of one row don't fill a block."""
+    rows = docs.select(*columns, key_of().alias("_key"), F.xxhash64(F.lit(1), "text", "doc_id").alias("_more"))
+    each = written(rows.groupBy("_key", "_more").agg(F.count(F.lit(1)).alias("_times"), F.first(F.octet_length("text")).alias("n")))
+    total = each.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.max("_times").alias("most")).first()
+    size, again = int(total["n"] or 0) + 64 * int(total["rows"]), (total["most"] or 0) > 1
+    if again:
+        many = written(each.where("_times > 1").drop("n"))
+        rows = rows.dropDuplicates(["_key", "_more"]).join(many, ["_key", "_more"], "left").withColumn("_times", F.coalesce("_times", F.lit(1).cast("long")))
+    else:
+        rows = rows.withColumn("_times", F.lit(1).cast("long"))
+    forget(each)
     n = max(1, math.ceil(size / block_bytes))
-    return docs.select(*columns, F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("_block")), size
+    return rows.select(*columns, "_times", F.pmod("_key", F.lit(n)).cast("int").alias("_block")), size, again
 
 
 def split(keys: np.ndarray, n: int) -> np.ndarray:
@@ -66,17 +79,14 @@ def gathered(table: pa.Table, wire, count):
     return np.concatenate(ks), np.concatenate(cs), np.cumsum([0, *map(len, ks)])
 
 
-def totals(wire, count, most: int | None = None) -> Callable[[pa.Table], pa.Table]:
-    """A range's rows to answers (block, r, answer): the sums, saturated at
-    ``most``, in each block's key order."""
+def totals(wire, count, told: Callable[[np.ndarray], np.ndarray]) -> Callable[[pa.Table], pa.Table]:
+    """A range's rows to answers (block, r, answer): what ``told`` makes of
+    the sums, in each block's key order."""
 
     def add(table: pa.Table) -> pa.Table:
         keys, counts, cuts = gathered(table, wire, count)
         _, inverse = np.unique(keys, return_inverse=True)
-        total = np.bincount(inverse, weights=counts).astype(np.int64)
-        if most:
-            total = np.minimum(total, most)
-        total = total.astype(count)[inverse]
+        total = told(np.bincount(inverse, weights=counts).astype(np.int64)).astype(count)[inverse]
         answers = [total[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return pa.table({"block": table["block"].cast(pa.int32()), "r": table["r"].cast(pa.int32()), "answer": pa.array(answers, pa.binary())})
 

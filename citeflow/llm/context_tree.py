@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
+from .shared import repeated
 from .text import _LOWER, chunks, mix, text_bytes, words
 
 U = np.uint64
 DEPTH = 5
 TREES = 64
 END_TOKEN = U(0x2545F4914F6CDD1D)
-OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, known_log double, score double"
+OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, known_log double, score double, _times long"
 _HALF = math.log(0.5)
 _table = np.cumsum(np.concatenate(([0.0], np.log(np.arange(1, 4097) - 0.5))))  # log of (1/2)(3/2)...
 _factor = np.cumsum(np.concatenate(([0.0], np.log(np.arange(1, 8193)))))
@@ -60,7 +61,8 @@ def grams(column):
 
 
 def learnt(table: pa.Table) -> np.ndarray:
-    return ~np.array(table["held_out"].to_pylist(), bool)
+    """How often each text counts: as often as its row stands, or not at all."""
+    return np.where(table["held_out"].to_numpy(), 0, table["_times"].to_numpy())
 
 
 def gram_counts(table: pa.Table):
@@ -68,8 +70,8 @@ def gram_counts(table: pa.Table):
     train, keys, counts = learnt(table), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for a, k, bounds in grams(table["text"]):
         use = np.repeat(train[a : a + len(bounds) - 1], np.diff(bounds))
-        for part, weight in ((k[use], 1), (k[~use], 0)):
-            u, n = np.unique(part, return_counts=True)
+        for weight in np.unique(use).tolist():
+            u, n = np.unique(k[use == weight], return_counts=True)
             every, inverse = np.unique(np.concatenate((keys, u)), return_inverse=True)
             counts = np.bincount(inverse, np.concatenate((counts, n * weight)), len(every)).astype(np.int64)
             keys = every
@@ -206,7 +208,7 @@ def score(docs: DataFrame, block_bytes: int = 16 << 20, range_bytes: int = 16 <<
     columns are ignored.  An empty table gives an empty result; without any
     training text the model is uniform over bits."""
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(10)) == 0
-    dealt, size = blocks.deal(docs.select("doc_id", "text", held.alias("held_out")), block_bytes, ["doc_id", "text", "held_out"])
+    dealt, size, again = blocks.deal(docs.select("doc_id", "text", held.alias("held_out")), block_bytes, ["doc_id", "text", "held_out"])
     n = max(8, math.ceil(0.6 * size / range_bytes))
     by_block = dealt.groupBy("_block")
     sent_words = by_block.applyInArrow(blocks.emitter(word_counts, n, np.uint64, np.uint32), blocks.SENT)
@@ -267,8 +269,8 @@ def score(docs: DataFrame, block_bytes: int = 16 << 20, range_bytes: int = 16 <<
     gram_answers = sent_grams.groupBy("r").cogroup(logs.groupBy("r")).applyInArrow(reply, blocks.ANSWER)
 
     def final(table: pa.Table, answers: pa.Table) -> pa.Table:
-        names = ("doc_id", "held_out", "n_tokens", "n_known", "n_bytes", "known_log", "score")
-        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        names = ("doc_id", "held_out", "n_tokens", "n_known", "n_bytes", "known_log", "score", "_times")
+        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
         if table.num_rows == 0:
             return pa.table({k: pa.array([], t) for k, t in zip(names, kinds, strict=True)})
         of_grams = np.array(answers["r"].to_pylist()) < 0
@@ -291,11 +293,12 @@ def score(docs: DataFrame, block_bytes: int = 16 << 20, range_bytes: int = 16 <<
             # every text has at least its end, so no run is empty
             result[a : a + len(cuts) - 1] = np.add.reduceat(value[np.searchsorted(keys, k)].astype(float), cuts[:-1])
         sizes = np.diff(text_bytes(table["text"])[1])
-        values = (table["doc_id"], table["held_out"], np.diff(bounds) + 1, known.astype(np.int64), sizes, logged, result)
+        values = (table["doc_id"], table["held_out"], np.diff(bounds) + 1, known.astype(np.int64), sizes, logged, result, table["_times"])
         return pa.table({k: (v.cast(t) if isinstance(v, pa.ChunkedArray) else pa.array(v, t)) for k, t, v in zip(names, kinds, values, strict=True)})
 
     every = word_answers.where("block >= 0").union(gram_answers)
     out = by_block.cogroup(every.groupBy("block")).applyInArrow(final, OUT)
+    out = repeated(out, "_times") if again else out.drop("_times")
     v, tokens = size_of.select("v").scalar(), size_of.select("n").scalar()
     out = out.withColumns({"train_tokens": tokens, "_v": v})
     base = F.col("known_log") - F.col("n_tokens") * F.log10(F.col("train_tokens") + 0.1 * (F.col("_v") + 1))

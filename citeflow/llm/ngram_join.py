@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .shared import components, written
+from .shared import components, forget, repeated, written
 from .text import mix, shingle_sets
 
-SETS = "doc_id long, n_shingles long, c1 long, c2 long, prefix array<long>, shingles array<long>"
-#: Rows that one task searches: of a star, and of a part of what is left.
-STAR, GROUP = 64, 128
+SETS = "doc_id long, n_shingles long, c1 long, c2 long, prefix array<long>, shingles array<long>, _times long"
+#: Rows that are searched at once: of a star, and of a part of a list; rows of
+#: short lists that go to one task together.
+STAR, GROUP, TOGETHER = 64, 128, 2048
 
 
 def divide_skip(lists: list[list[int]], need: int) -> list[int]:
@@ -104,28 +105,37 @@ def links(ids, sets, labels, asks, held, percent: int) -> list[tuple[int, int]]:
 
 
 def _linker(percent: int):
+    """Links inside each ``lot`` of a task's rows."""
+
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("lot")
         column = table["shingles"].combine_chunks()
         if isinstance(column, pa.ChunkedArray):
             column = pa.concat_arrays(column.chunks)
         flat, off = column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()
-        sets = [flat[off[i] : off[i + 1]] for i in range(table.num_rows)]
-        ids, labels, asks, held = (table[x].to_numpy() for x in ("doc_id", "label", "asks", "held"))
-        found = links(ids, [np.sort(x) for x in sets], labels, asks, held, percent)
+        sets = [np.sort(flat[off[i] : off[i + 1]]) for i in range(table.num_rows)]
+        lots, ids, labels, asks, held = (table[x].to_numpy() for x in ("lot", "doc_id", "label", "asks", "held"))
+        edges = [0, *(np.flatnonzero(lots[1:] != lots[:-1]) + 1).tolist(), len(lots)]
+        found = [x for a, b in zip(edges[:-1], edges[1:], strict=True) for x in links(ids[a:b], sets[a:b], labels[a:b], asks[a:b], held[a:b], percent)]
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
     return run
 
 
-def document_sets(docs: DataFrame, k: int, percent: int, block_bytes: int, range_bytes: int) -> DataFrame:
-    """Per row of docs: the size of its set, its class (128 bits of hash of
+def magnitude(x: np.ndarray) -> np.ndarray:
+    """Binary digits of counts: 1 is 1, 2 and 3 are 2, 4 to 7 are 3."""
+    return np.frexp(x.astype(np.float64))[1]
+
+
+def document_sets(docs: DataFrame, k: int, percent: int, block_bytes: int, range_bytes: int) -> tuple[DataFrame, bool]:
+    """Per row of docs, equal ones once: the size of its set, its class (128 bits of hash of
     the set), its prefix and, where the prefix isn't empty, its set.
 
-    Shingles stand in the order of their exact document counts (by powers of
-    two), then by hash.  Two sets that link share one of their first
+    Shingles stand in the order of their document counts (by binary digits; a
+    block tells at most 255), then by hash.  Two sets that link share one of their first
     n - ceil(percent * n / 100) + 1 shingles in any such order; of those, the
     ones that no other document has lead nowhere and are left out."""
-    dealt, size = blocks.deal(docs, block_bytes, ["doc_id", "text"])
+    dealt, size, again = blocks.deal(docs, block_bytes, ["doc_id", "text"])
     n = max(8, math.ceil(0.8 * size / range_bytes))
 
     def keys_of(table):
@@ -147,7 +157,7 @@ def document_sets(docs: DataFrame, k: int, percent: int, block_bytes: int, range
         rows = [(i, (keys[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), counts[a:b].astype(np.uint8).tobytes()) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
         return pa.table({"r": pa.array([x[0] for x in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()), "keys": pa.array([x[1] for x in rows], pa.binary()), "counts": pa.array([x[2] for x in rows], pa.binary())})
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64())), ("_times", pa.int64())])
 
     def both(table: pa.Table, answers: pa.Table) -> pa.Table:
         if table.num_rows == 0:
@@ -159,13 +169,13 @@ def document_sets(docs: DataFrame, k: int, percent: int, block_bytes: int, range
         answer = dict(zip(answers["r"].to_pylist(), answers["answer"].to_pylist(), strict=True))
         total = np.frombuffer(b"".join(answer[i] for i in sorted(answer)), np.uint8)
         df = total[np.searchsorted(keys, cut)] if len(keys) else np.zeros(0, np.uint8)
-        at, rows = 0, ([], [], [], [], [], [])
+        at, rows = 0, ([], [], [], [], [], [], table["_times"].to_pylist())
         for x, doc in zip(sets, table["doc_id"].to_pylist(), strict=True):
             m = len(x)
             own = df[at : at + m]
             at += m
             first = m - -(-percent * m // 100) + 1 if m else 0
-            rare = np.lexsort((x, np.frexp(own.astype(np.float32))[1]))[:first]
+            rare = np.lexsort((x, own))[:first]
             prefix = x[rare[own[rare] > 1]]
             with np.errstate(over="ignore"):
                 c1, c2 = (mix(x).sum(), mix(x ^ np.uint64(0xA0761D6478BD642F)).sum()) if m else (np.uint64(0), np.uint64(0))
@@ -178,8 +188,8 @@ def document_sets(docs: DataFrame, k: int, percent: int, block_bytes: int, range
         return pa.table([pa.array(x, f.type) for x, f in zip(rows, schema, strict=True)], schema=schema)
 
     sent = dealt.groupBy("_block").applyInArrow(emit, blocks.SENT)
-    answers = sent.groupBy("r").applyInArrow(blocks.totals(np.uint32, np.uint8, 255), blocks.ANSWER)
-    return dealt.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(both, SETS)
+    answers = sent.groupBy("r").applyInArrow(blocks.totals(np.uint32, np.uint8, magnitude), blocks.ANSWER)
+    return dealt.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(both, SETS), again
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 75, block_bytes: int = 8 << 20, range_bytes: int = 16 << 20) -> DataFrame:
@@ -194,53 +204,69 @@ def join(docs: DataFrame, k: int = 5, percent: int = 75, block_bytes: int = 8 <<
       first held against the smallest candidate of its shingles, which joins
       a group of near copies by a star and not by all pairs;
     * sets that share a prefix shingle and still lie in different components
-      are searched against each other by T-occurrence (``divide_skip``), in
-      groups of a bounded size.
+      are searched against each other by T-occurrence (``divide_skip``), list
+      by list of the sets that have the shingle, equal lists once, and long
+      lists in pairs of parts.
 
     Texts that are null or have no word have an empty set and are linked with
-    nothing.  Rows that share a doc_id are one document with several texts.
+    nothing.  Rows that share a doc_id are one document with several texts,
+    which are linked; rows that repeat doc_id and text have the same result.
     Rows without doc_id link with nothing and have no component_id.  Other
     columns are ignored; an empty table gives an empty result."""
-    sets = written(document_sets(docs, k, percent, block_bytes, range_bytes))
+    sets, again = document_sets(docs, k, percent, block_bytes, range_bytes)
+    sets = written(sets)
     known = sets.where("doc_id is not null and n_shingles > 0")
-    classes = written(known.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")))
+    classes = written(known.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")))
     some = known.where("size(prefix) > 0").alias("s")
-    reps = some.join(classes.alias("c"), (F.col("s.c1") == F.col("c.c1")) & (F.col("s.c2") == F.col("c.c2")) & (F.col("doc_id") == F.col("rep"))).select("rep", "n_shingles", F.explode("prefix").alias("key"))
+    reps = some.join(classes.alias("c"), (F.col("s.c1") == F.col("c.c1")) & (F.col("s.c2") == F.col("c.c2")) & (F.col("doc_id") == F.col("rep"))).select("rep", F.explode("prefix").alias("key"))
     reps = written(reps)
     heads = reps.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head <> last")
     entries = written(reps.join(heads.select("key", "head"), "key"))
+    forget(reps)
     bodies = known.where("shingles is not null").select("doc_id", "shingles")
 
     # near copies: each against the smallest candidate it shares most with
     best = entries.where("rep <> head").groupBy("rep", "head").agg(F.count(F.lit(1)).alias("n"))
     best = best.groupBy("rep").agg(F.max_by("head", F.struct("n", -F.col("head"))).alias("head"))
     counted = best.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("parts"))
-    star = written(best.join(counted, "head").select("head", F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("part"), F.col("rep").alias("doc_id")))
+    star = written(best.join(counted, "head").select(F.xxhash64("head", F.pmod(F.xxhash64("rep"), "parts")).alias("lot"), "head", F.col("rep").alias("doc_id")))
     yes, no = F.lit(True), F.lit(False)
-    asked = star.select("head", "part", "doc_id", no.alias("asks"), yes.alias("held"))
-    asked = asked.union(star.select("head", "part").distinct().select("head", "part", "head", yes, no))
+    asked = star.select("lot", "doc_id", no.alias("asks"), yes.alias("held"))
+    asked = asked.union(star.select("lot", "head").distinct().select("lot", "head", yes, no))
     link = _linker(percent)
-    near = asked.join(bodies, "doc_id").withColumn("label", F.col("doc_id")).groupBy("head", "part").applyInArrow(link, "a long, b long")
-    stars = written(components(written(near)))
+    near = written(asked.join(bodies, "doc_id").withColumn("label", F.col("doc_id")).groupBy("lot").applyInArrow(link, "a long, b long"))
+    stars = components(near)
+    forget(star, near)
 
-    # what still shares a prefix shingle across components
+    # what still shares a prefix shingle across components, by its list
     placed = entries.select("key", "rep").join(stars.select(F.col("node").alias("rep"), "component"), "rep", "left")
     placed = written(placed.select("key", "rep", F.coalesce("component", "rep").alias("label")))
-    mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "low")
-    rest = written(placed.join(mixed, "key").select("rep", "label", "low").distinct())
-    area = components(rest.select(F.col("label").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("label"), F.col("component").alias("area"))
-    rest = rest.select("rep", "label").distinct().join(area, "label", "left").select("rep", "label", F.coalesce("area", "label").alias("area"))
-    rest = written(rest)
-    parts = rest.groupBy("area").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"))
-    rest = rest.join(parts, "area").withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    forget(entries)
+    lists = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), *(F.bit_xor(F.xxhash64(F.lit(i), "rep")).alias(f"x{i}") for i in (0, 1)))
+    lists = lists.where("low <> high").groupBy("n", "x0", "x1").agg(F.min("key").alias("key"))
+    rest = written(placed.join(lists.select("key", "n"), "key"))
+    forget(placed)
+    tasks = max(1, rest.count() // TOGETHER)
+    parts = F.ceil(F.col("n") / GROUP).cast("int")
+    rest = rest.select("key", F.col("rep").alias("doc_id"), "label", parts.alias("parts"), F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rest = rest.select("area", F.col("rep").alias("doc_id"), "label", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") <= F.col("other")).alias("asks"), (F.col("part") >= F.col("other")).alias("held"))
-    far = rest.join(bodies, "doc_id").groupBy("area", "i", "j").applyInArrow(link, "a long, b long")
-    found = components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).union(far)).select(F.col("node").alias("rep"), "component")
-
-    classes = classes.join(found, "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
-    out = sets.select("doc_id", "n_shingles", *(F.when(F.col("n_shingles") > 0, F.col(c)).alias(c) for c in ("c1", "c2")))
-    return out.join(written(classes), ["c1", "c2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    lot = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))
+    rest = rest.select(lot.alias("lot"), F.when(F.col("parts") == 1, F.pmod(F.xxhash64("key"), F.lit(tasks))).otherwise(lot).alias("task"), "doc_id", "label", (F.col("part") <= F.col("other")).alias("asks"), (F.col("part") >= F.col("other")).alias("held"))
+    far = rest.join(bodies, "doc_id").groupBy("task").applyInArrow(link, "a long, b long")
+
+    # several texts of one doc_id
+    several = known.groupBy("doc_id").agg(F.min("c1").alias("c1"), F.max("c1").alias("high")).where("c1 <> high").select("doc_id")
+    own = known.select("doc_id", "c1", "c2").join(several, "doc_id").join(classes, ["c1", "c2"])
+    found = components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).union(far).union(own.select("doc_id", "rep")))
+    forget(stars)
+
+    classes = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"), "last")
+    classes = written(classes.where("component <> last").drop("last"))
+    out = sets.select("doc_id", "n_shingles", *(F.when(F.col("n_shingles") > 0, F.col(c)).alias(c) for c in ("c1", "c2")), "_times")
+    full, bare = out.where("n_shingles > 0"), out.where("n_shingles = 0").select("doc_id", "n_shingles", "_times", F.lit(None).cast("long").alias("component"))
+    out = full.join(classes, ["c1", "c2"], "left").select("doc_id", "n_shingles", "_times", "component").union(bare)
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), "_times")
+    return repeated(out, "_times") if again else out.drop("_times")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

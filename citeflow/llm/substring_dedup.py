@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
+from .shared import repeated
 from .text import text_bytes, windows, words
 
-OUT = "doc_id long, n_words long, n_removed long, kept string, removed array<struct<first:long,end:long>>"
+OUT = "doc_id long, n_words long, n_removed long, kept string, removed array<struct<first:long,end:long>>, _times long"
+KINDS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("removed", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), ("_times", pa.int64())])
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, block_bytes: int = 8 << 20, range_bytes: int = 16 << 20) -> DataFrame:
@@ -30,7 +32,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, block_bytes: int = 8 << 20
     Null and empty texts, and texts shorter than the window, lose nothing.
     Repeated rows repeat each other's windows.  Other columns are ignored.
     An empty table gives an empty result."""
-    dealt, size = blocks.deal(docs, block_bytes, ["doc_id", "text"])
+    dealt, size, again = blocks.deal(docs, block_bytes, ["doc_id", "text"])
     n = max(8, math.ceil(1.5 * size / range_bytes))
 
     def own(table):
@@ -39,8 +41,10 @@ def remove_repeats(docs: DataFrame, window: int = 35, block_bytes: int = 8 << 20
         return h, bounds, at, w
 
     def keys_of(table):
-        keys, counts = np.unique(own(table)[3], return_counts=True)
-        return keys, np.minimum(counts, 2)
+        _, bounds, at, w = own(table)
+        keys, inverse = np.unique(w, return_inverse=True)
+        times = np.minimum(table["_times"].to_numpy(), 2)[np.searchsorted(bounds, at, "right") - 1]
+        return keys, np.minimum(np.bincount(inverse, times, len(keys)), 2).astype(np.int64)
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
         h, bounds, at, w = own(table)
@@ -65,18 +69,16 @@ def remove_repeats(docs: DataFrame, window: int = 35, block_bytes: int = 8 << 20
                 removed.append([])
             lost.append(int(g.sum()))
             kept.append(b" ".join(parts).decode("utf-8", "replace"))
-        kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-        return pa.table({"doc_id": table["doc_id"].cast(pa.int64()), "n_words": pa.array(np.diff(bounds), pa.int64()), "n_removed": pa.array(lost, pa.int64()), "kept": pa.array(kept, pa.string()), "removed": pa.array(removed, kind)})
+        return pa.table([table["doc_id"].cast(pa.int64()), np.diff(bounds), lost, kept, removed, table["_times"]], schema=KINDS)
 
     sent = dealt.groupBy("_block").applyInArrow(blocks.emitter(keys_of, n, np.uint64, np.uint8), blocks.SENT)
-    answers = sent.groupBy("r").applyInArrow(blocks.totals(np.uint64, np.uint8, 2), blocks.ANSWER)
+    answers = sent.groupBy("r").applyInArrow(blocks.totals(np.uint64, np.uint8, lambda x: np.minimum(x, 2)), blocks.ANSWER)
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows == 0:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept": pa.array([], pa.string()), "removed": pa.array([], pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))})
-        return cut(left, right)
+        return cut(left, right) if left.num_rows else KINDS.empty_table()
 
-    return dealt.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(both, OUT)
+    out = dealt.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(both, OUT)
+    return repeated(out, "_times") if again else out.drop("_times")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
