@@ -8,10 +8,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 SAMPLE = 20000
 FEATURES = ("length", "host_length", "depth", "labels", "digits", "letters", "entropy", "params", "hyphens", "longest", "secure", "fragment", "page", "suffix_rate", "suffix_share")
+SUFFIX = r"([^.]*)$"
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -47,7 +50,40 @@ def lexical(df: DataFrame) -> DataFrame:
         "digits": count("[0-9]") / n, "letters": count("[A-Za-z]") / n, "entropy": entropy, "params": count("[?&][^=&#]+="), "hyphens": count("[-_]"), "longest": longest,
         "secure": F.startswith(url, F.lit("https")).cast("int"), "fragment": F.contains(url, F.lit("#")).cast("int"), "page": F.col("path").rlike(r"\.[a-z]{2,5}$").cast("int"),
     }
-    return df.withColumns({k: v.cast("double") for k, v in values.items()} | {"suffix": F.regexp_extract("host", r"([^.]*)$", 1)})
+    return df.withColumns({k: v.cast("double") for k, v in values.items()} | {"suffix": F.regexp_extract("host", SUFFIX, 1)})
+
+
+def fit(df: DataFrame, sample: int = SAMPLE, trees: int = 10, depth: int = 3):
+    """(vectors, model) of the trees for (url, host, path, label): a function
+    that adds the column ``features``, and the model, or None where labels
+    are of one kind.
+
+    How often URLs of a suffix were blocked, and how many there are, is
+    counted over all of ``df``; the trees learn from at most ``sample``
+    different URLs, the first by hash."""
+    suffix = F.regexp_extract("host", SUFFIX, 1)
+    counts = written(df.groupBy(suffix.alias("suffix")).agg(F.sum("label").alias("blocked"), F.count(F.lit(1)).alias("n")))
+    state = counts.agg(F.sum("blocked").alias("a"), F.sum("n").alias("n")).first()
+    total, blocked = int(state["n"] or 0), float(state["a"] or 0)
+    rate = blocked / max(1, total)
+    suffixes = counts.select("suffix", ((F.col("blocked") + 2 * rate) / (F.col("n") + 2)).alias("suffix_rate"), (F.col("n") / max(1, total)).alias("suffix_share"))
+
+    def vectors(x: DataFrame) -> DataFrame:
+        x = lexical(x).join(suffixes, "suffix", "left").fillna({"suffix_rate": rate, "suffix_share": 0.0})
+        return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(x)
+
+    if not 0 < blocked < total:
+        return vectors, None
+    known = df.groupBy("url").agg(F.first("host").alias("host"), F.first("path").alias("path"), F.max("label").alias("label"))
+    known = written(known.orderBy(F.xxhash64("url"), "url").limit(sample))
+    return vectors, GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7, maxMemoryInMB=128).fit(vectors(known).select("features", "label"))
+
+
+def labelled(pages: DataFrame) -> DataFrame:
+    """(page_id, url, host, path, hit): hit is the rule's struct or null."""
+    host, path = parts(F.col("url"))
+    df = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
+    return df.withColumn("hit", rule_of(F.col("host"), F.col("path")))
 
 
 def judge(pages: DataFrame, sample: int = SAMPLE, trees: int = 10, depth: int = 3) -> DataFrame:
@@ -57,38 +93,22 @@ def judge(pages: DataFrame, sample: int = SAMPLE, trees: int = 10, depth: int =
     A rule fits its host and all below it where the path starts with the
     rule's; the longest wins and gives the verdict.  The URLs that rules judge
     are the labels of gradient-boosted trees over lexical features and over
-    how often URLs with the same suffix were blocked; at most ``sample`` of
-    them, the first by hash, are learnt from.  The trees judge the rest:
-    block where they find it likelier.
+    how often URLs with the same suffix were blocked (see ``fit``).  The trees
+    judge the rest: block where they find it likelier.
 
     Null URLs and URLs without :// have an empty host and path; no rule fits
-    them.  Repeated URLs are learnt once.  Nulls in page_id stay; other
-    columns are ignored; an empty table gives an empty result.  Where rules
-    give fewer than two kinds of labels, the rest is allowed (score 0)."""
-    host, path = parts(F.col("url"))
-    df = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
-    df = df.withColumn("hit", rule_of(F.col("host"), F.col("path")))
-    known = df.where("hit is not null").groupBy("url").agg(F.first("host").alias("host"), F.first("path").alias("path"), F.first("hit.verdict").alias("v"))
-    known = known.orderBy(F.xxhash64("url"), "url").limit(sample)
-    known = lexical(known).withColumn("label", (F.col("v") == "block").cast("double")).cache()
-    state = known.agg(F.sum("label").alias("a"), F.count(F.lit(1)).alias("n")).first()
-    judged = lexical(df)
-    total, blocked = int(state["n"]), float(state["a"] or 0)
-    if 0 < blocked < total:
-        suffixes = known.groupBy("suffix").agg(((F.sum("label") + 2 * blocked / total) / (F.count(F.lit(1)) + 2)).alias("suffix_rate"), (F.count(F.lit(1)) / total).alias("suffix_share"))
-        fill = {"suffix_rate": blocked / total, "suffix_share": 0.0}
-
-        def vectors(x):  # suffixes: no more rows than the sample
-            x = x.join(F.broadcast(suffixes), "suffix", "left").fillna(fill)
-            return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(x)
-
-        model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7, maxMemoryInMB=128).fit(vectors(known).select("features", "label"))
-        judged = model.transform(vectors(judged)).withColumn("score", vector_to_array("probability")[1])
-    else:
-        judged = judged.withColumn("score", F.lit(0.0))
-    known.unpersist()
-    verdict = F.coalesce(F.col("hit.verdict"), F.when(F.col("score") > 0.5, F.lit("block")).otherwise(F.lit("allow")))
-    return judged.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"), F.col("score").alias("block_score"))
+    them.  Repeated URLs are learnt once, and count in the suffixes as often
+    as they stand.  Nulls in page_id stay; other columns are ignored; an empty
+    table gives an empty result.  Where rules give fewer than two kinds of
+    labels, the rest is allowed (score 0)."""
+    df = labelled(pages)
+    label = (F.col("hit.verdict") == "block").cast("double")
+    vectors, model = fit(df.where("hit is not null").select("url", "host", "path", label.alias("label")), sample, trees, depth)
+    score = F.lit(0.0)
+    if model:
+        df, score = model.transform(vectors(df)), vector_to_array("probability")[1]
+    verdict = F.coalesce(F.col("hit.verdict"), F.when(score > 0.5, F.lit("block")).otherwise(F.lit("allow")))
+    return df.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"), score.alias("block_score"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
