@@ -15,7 +15,9 @@ from .text import _LOWER, chunks, mix, text_bytes, words
 
 U = np.uint64
 DEPTH = 5
-TREES = 64
+#: Trees at least and at most (one for each pair of nearest bytes), and the
+#: bytes of text for each.
+TREES, MOST_TREES, TREE_BYTES = 64, 1 << 16, 64 << 20
 END_TOKEN = U(0x2545F4914F6CDD1D)
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, known_log double, score double, _times long"
 _HALF = math.log(0.5)
@@ -87,8 +89,8 @@ def word_counts(table: pa.Table):
     return keys, counts
 
 
-def tree_of(keys: np.ndarray) -> np.ndarray:
-    return (mix((keys >> U(8)) & U(0xFFFF)) % U(TREES)).astype(np.int64)
+def tree_of(keys: np.ndarray, trees: int) -> np.ndarray:
+    return (mix((keys >> U(8)) & U(0xFFFF)) % U(trees)).astype(np.int64)
 
 
 class Tree:
@@ -210,6 +212,7 @@ def score(docs: DataFrame, block_bytes: int = 16 << 20, range_bytes: int = 16 <<
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(10)) == 0
     dealt, size, again = blocks.deal(docs.select("doc_id", "text", held.alias("held_out")), block_bytes, ["doc_id", "text", "held_out"])
     n = max(8, math.ceil(0.6 * size / range_bytes))
+    trees = min(MOST_TREES, max(TREES, size // TREE_BYTES))
     by_block = dealt.groupBy("_block")
     sent_words = by_block.applyInArrow(blocks.emitter(word_counts, n, np.uint64, np.uint32), blocks.SENT)
     sent_grams = by_block.applyInArrow(blocks.emitter(gram_counts, n, np.uint64, np.uint32), blocks.SENT)
@@ -231,7 +234,7 @@ def score(docs: DataFrame, block_bytes: int = 16 << 20, range_bytes: int = 16 <<
         keys, counts, _ = blocks.gathered(table, np.uint64, np.uint32)
         keys, inverse = np.unique(keys, return_inverse=True)
         counts = np.bincount(inverse, counts, len(keys)).astype(np.int64)
-        t = tree_of(keys)
+        t = tree_of(keys, trees)
         rows = [(i, keys[t == i].tobytes(), counts[t == i].tobytes()) for i in np.unique(t).tolist()]
         return _one(tree=([x[0] for x in rows], pa.int32()), r=([table["r"][0].as_py()] * len(rows), pa.int32()), keys=([x[1] for x in rows], pa.binary()), counts=([x[2] for x in rows], pa.binary()))
 
@@ -245,7 +248,7 @@ def score(docs: DataFrame, block_bytes: int = 16 << 20, range_bytes: int = 16 <<
         return _one(crown=([crown(table["sums"].to_pylist()).tobytes()], pa.binary()))
 
     top = merged.applyInArrow(stems, "one int, sums binary").groupBy("one").applyInArrow(crowned, "crown binary")
-    tops = docs.sparkSession.range(TREES).select(F.col("id").cast("int").alias("tree"), top.scalar().alias("crown")).groupBy("tree")
+    tops = docs.sparkSession.range(trees).select(F.col("id").cast("int").alias("tree"), top.scalar().alias("crown")).groupBy("tree")
 
     def predict(table: pa.Table, above: pa.Table) -> pa.Table:
         if table.num_rows == 0:
