@@ -67,3 +67,8 @@ def work_ids(works: Column) -> Column:
     """Work URLs as short ids joined by '; ', null if none."""
     ids = F.transform(works, lambda x: F.replace(x, F.lit("https://openalex.org/"), F.lit("")))
     return F.when(F.size(ids) > 0, F.array_join(ids, "; "))
+
+
+def quoted(c: Column) -> Column:
+    """A text for a URL's query: UTF-8 bytes in per cent, spaces as +."""
+    return F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))

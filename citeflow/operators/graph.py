@@ -13,7 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEASURES = ("degree", "betweenness", "eigenvector", "closeness", "pagerank")
+from citeflow.sources import scratch
+
+#: Edges that ``centralities`` and ``communities`` take: their task holds a
+#: matrix of at most twice as many nodes squared.
+MOST_EDGES = 2000
 
 
 def degree(edges: DataFrame) -> DataFrame:
@@ -22,19 +26,25 @@ def degree(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def pagerank_large(edges: DataFrame, damping: float = 0.85, rounds: int = 30) -> DataFrame:
-    """Weighted PageRank by joins, cutting lineage in the shared folder."""
+def pagerank_large(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+    """(node, rank): weighted PageRank by joins, for graphs of any size, until
+    the ranks change by less than ``tolerance`` a node in all (the change
+    shrinks by ``damping`` a round, so it ends).  Each round is a written
+    table of the checkpoint folder, so its plan doesn't grow."""
     arcs = edges.select("src", "dst", "weight").union(edges.where("src <> dst").select("dst", "src", "weight"))
     out = arcs.groupBy("src").agg(F.sum("weight").alias("total"))
-    arcs = arcs.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")).persist()
-    n = out.count()
-    ranks = out.select(F.col("src").alias("node"), F.lit(1.0 / max(n, 1)).alias("rank"))
-    for i in range(rounds):
-        got = arcs.join(ranks, arcs.src == ranks.node).groupBy("dst").agg(F.sum(F.col("p") * F.col("rank")).alias("r"))
-        ranks = got.select(F.col("dst").alias("node"), ((1 - damping) / n + damping * F.col("r")).alias("rank"))
-        if i % 5 == 4 and edges.sparkSession.conf.get("spark.checkpoint.dir", None):
-            ranks = ranks.checkpoint()
-    return ranks
+    arcs = scratch.written(arcs.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")))
+    ranks = arcs.select(F.col("src").alias("node")).distinct()
+    n = max(1, ranks.count())
+    ranks = scratch.written(ranks.withColumn("rank", F.lit(1.0 / n)))
+    while True:
+        got = arcs.join(ranks, arcs.src == ranks.node).groupBy(F.col("dst").alias("node")).agg(((1 - damping) / n + damping * F.sum(F.col("p") * F.col("rank"))).alias("new"))
+        both = scratch.written(got.join(ranks, "node").select("node", F.col("new").alias("rank"), F.abs(F.col("new") - F.col("rank")).alias("moved")))
+        scratch.forget(ranks)
+        moved, ranks = both.agg(F.sum("moved")).first()[0] or 0.0, both
+        if moved < n * tolerance:
+            scratch.forget(arcs)
+            return ranks.select("node", "rank")
 
 
 def _matrix(e: pd.DataFrame):
@@ -71,12 +81,15 @@ def _paths(w: np.ndarray, s: int):
     return dist, order, count, before
 
 
-def measures(e: pd.DataFrame) -> pd.DataFrame:
-    """All five centralities of one weighted undirected graph."""
-    names, w = _matrix(e)
-    n = len(names)
-    hop = (w != 0).astype(float)
-    between, close = np.zeros(n), np.zeros(n)
+def _degree(w: np.ndarray) -> np.ndarray:
+    hop = w != 0
+    return (hop.sum(1) + np.diag(hop)).astype(int)
+
+
+def _betweenness(w: np.ndarray) -> np.ndarray:
+    """Shares of shortest paths, weights as lengths."""
+    n = len(w)
+    between = np.zeros(n)
     for s in range(n):
         _, order, count, before = _paths(w, s)
         share = np.zeros(n)
@@ -85,30 +98,48 @@ def measures(e: pd.DataFrame) -> pd.DataFrame:
                 share[u] += count[u] / count[v] * (1 + share[v])
             if v != s:
                 between[v] += share[v]
+    return between / ((n - 1) * (n - 2)) if n > 2 else between
+
+
+def _closeness(w: np.ndarray) -> np.ndarray:
+    """Reached nodes over their hops, scaled by the share that is reached."""
+    n, hop = len(w), (w != 0).astype(float)
+    close = np.zeros(n)
+    for s in range(n):
         far = _paths(hop, s)[0]
         reached = np.isfinite(far)
         k, total = reached.sum() - 1, far[reached].sum()
         close[s] = (k / total) * (k / (n - 1)) if total > 0 else 0.0
-    if n > 2:
-        between /= (n - 1) * (n - 2)
-    x, ok = np.full(n, 1 / max(n, 1)), False
+    return close
+
+
+def _eigenvector(w: np.ndarray) -> np.ndarray:
+    """Power iteration; zeros where 1000 rounds don't converge."""
+    n = len(w)
+    x = np.full(n, 1 / max(n, 1))
     for _ in range(1000):
         y = x + w @ x
         y /= np.linalg.norm(y) or 1
-        ok = np.abs(y - x).sum() < n * 1e-6
+        if np.abs(y - x).sum() < n * 1e-6:
+            return y
         x = y
-        if ok:
-            break
+    return 0 * x
+
+
+def _pagerank(w: np.ndarray) -> np.ndarray:
+    """Weighted; the change shrinks by 0.85 a round, so the loop ends."""
+    n = len(w)
     p = w / np.maximum(w.sum(1, keepdims=True), 1e-300)
     rank = np.full(n, 1 / max(n, 1))
-    for _ in range(100):
+    while True:
         new = 0.85 * (rank @ p) + 0.15 / n
-        ok_rank = np.abs(new - rank).sum() < n * 1e-6
+        if np.abs(new - rank).sum() < n * 1e-6:
+            return new
         rank = new
-        if ok_rank:
-            break
-    deg = (hop.sum(1) + np.diag(hop)).astype(int)
-    return pd.DataFrame({"node": names, "degree": deg, "betweenness": between, "eigenvector": x if ok else 0 * x, "closeness": close, "pagerank": rank})
+
+
+_MEASURES = {"degree": _degree, "betweenness": _betweenness, "eigenvector": _eigenvector, "closeness": _closeness, "pagerank": _pagerank}
+MEASURES = tuple(_MEASURES)
 
 
 def modularity(w: np.ndarray, of: np.ndarray) -> float:
@@ -136,9 +167,11 @@ def _greedy(w: np.ndarray) -> np.ndarray:
 
 
 def _propagate(w: np.ndarray) -> np.ndarray:
-    """Label propagation in node order; ties go to the own label, else the largest."""
+    """Label propagation in node order; ties go to the own label, else the
+    largest.  A label changes only to one that more edges agree with, so the
+    loop ends."""
     of, a = np.arange(len(w)), w != 0
-    for _ in range(100):
+    while True:
         was = of.copy()
         for v in range(len(w)):
             around = of[a[v]]
@@ -147,17 +180,18 @@ def _propagate(w: np.ndarray) -> np.ndarray:
                 best = labels[n == n.max()]
                 of[v] = of[v] if of[v] in best else best[-1]
         if (was == of).all():
-            break
-    return of
+            return of
 
 
 def _louvain(w: np.ndarray) -> np.ndarray:
-    """Local moves and contraction, weighted, in node order."""
+    """Local moves and contraction, weighted, in node order; every move gains
+    modularity, so the loops end."""
     of, level = np.arange(len(w)), w.copy()
     while level.sum():
         n, k, m = len(level), level.sum(1), level.sum()
         own, moved = np.arange(n), False
-        for _ in range(50):
+        still = False
+        while not still:
             still = True
             for v in range(n):
                 links = np.bincount(own, level[v], n)
@@ -170,8 +204,6 @@ def _louvain(w: np.ndarray) -> np.ndarray:
                 best = int(np.argmax(gain))
                 if gain[best] > gain[own[v]] + 1e-12:
                     own[v], still, moved = best, False, True
-            if still:
-                break
         if not moved:
             break
         _, own = np.unique(own, return_inverse=True)
@@ -183,10 +215,25 @@ def _louvain(w: np.ndarray) -> np.ndarray:
 COMMUNITIES = {"greedy": _greedy, "label_propagation": _propagate, "louvain": _louvain}
 
 
-def centralities(edges: DataFrame) -> DataFrame:
-    """(node, degree, betweenness, eigenvector, closeness, pagerank)."""
-    schema = "node string, degree long, betweenness double, eigenvector double, closeness double, pagerank double"
-    return edges.withColumn("graph", F.lit(0)).groupBy("graph").applyInPandas(measures, schema)
+def _bounded(edges: DataFrame) -> DataFrame:
+    """The edges as one group, refused above MOST_EDGES; for larger graphs
+    there are ``degree``, ``pagerank_large`` and the strongest edges."""
+    edges = scratch.written(edges)
+    if edges.limit(MOST_EDGES + 1).count() > MOST_EDGES:
+        raise ValueError(f"more than {MOST_EDGES} edges; take the strongest ones (mapping.graph)")
+    return edges.withColumn("graph", F.lit(0)).groupBy("graph")
+
+
+def centralities(edges: DataFrame, wanted: tuple[str, ...] = MEASURES) -> DataFrame:
+    """(node, and a column for each measure wanted: degree, betweenness,
+    eigenvector, closeness, pagerank)."""
+
+    def run(e: pd.DataFrame) -> pd.DataFrame:
+        names, w = _matrix(e)
+        return pd.DataFrame({"node": names, **{m: _MEASURES[m](w) for m in wanted}})
+
+    kinds = ", ".join(f"{m} {'long' if m == 'degree' else 'double'}" for m in wanted)
+    return _bounded(edges).applyInPandas(run, f"node string, {kinds}")
 
 
 def communities(edges: DataFrame, how: str = "greedy") -> DataFrame:
@@ -201,7 +248,7 @@ def communities(edges: DataFrame, how: str = "greedy") -> DataFrame:
         number = {c: i + 1 for i, (_, _, c) in enumerate(groups)}
         return pd.DataFrame({"node": names, "cluster": [number[c] for c in of.tolist()]})
 
-    return edges.withColumn("graph", F.lit(0)).groupBy("graph").applyInPandas(run, "node string, cluster int")
+    return _bounded(edges).applyInPandas(run, "node string, cluster int")
 
 
 def legend(nodes: DataFrame, metric: str) -> DataFrame:

@@ -7,8 +7,19 @@ from pyspark.sql import functions as F
 
 from citeflow.functions import text as T
 
-# Common English function words left out of co-word counts.
-STOPWORDS = ("i me my we our you your he him his she her it its they them their what which who this that these those am is are was were be been being have has had do does did a an the and but if or because as until while of at by for with about against between into through during before after above below to from up down in out on off over under again then once here there when where why how all any both each few more most other some such no nor not only own same so than too very can will just should now").split()
+# The public English stop list of the NLTK corpora, whole.
+STOPWORDS = (
+    "i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself yourselves he him his himself she she's her hers herself "
+    "it it's its itself they them their theirs themselves what which who whom this that that'll these those am is are was were be been being have has had having "
+    "do does did doing a an the and but if or because as until while of at by for with about against between into through during before after above below "
+    "to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same "
+    "so than too very s t can will just don don't should should've now d ll m o re ve y ain aren aren't couldn couldn't didn didn't doesn doesn't hadn hadn't hasn hasn't "
+    "haven haven't isn isn't ma mightn mightn't mustn mustn't needn needn't shan shan't shouldn shouldn't wasn wasn't weren weren't won won't wouldn wouldn't"
+).split()
+
+#: References of one work above which their pairs are dealt out, and works of
+#: a reference that meet each other in one task.
+LONG_LIST, BLOCK = 4096, 4096
 
 
 def clean_refs(works: DataFrame) -> DataFrame:
@@ -25,18 +36,33 @@ def ref_summary(works: DataFrame) -> DataFrame:
 def co_citation(works: DataFrame) -> DataFrame:
     """(ref1, ref2, n): pairs of distinct references of a work, ref1 < ref2,
     by the number of works.  Pairs are made inside each work's own list, so
-    no join moves the references."""
+    no join moves the references; a row for each first reference is dealt out
+    where a list is long."""
     refs = works.where("refs is not null").select(F.array_sort(F.array_distinct(T.references(F.col("refs")))).alias("r"))
     first = refs.select("r", F.posexplode("r").alias("i", "ref1"))
-    return first.select("ref1", F.explode(F.slice("r", F.col("i") + 2, F.size("r"))).alias("ref2")).groupBy("ref1", "ref2").agg(F.count(F.lit(1)).alias("n"))
+    pairs = lambda x: x.select("ref1", F.explode(F.slice("r", F.col("i") + 2, F.size("r"))).alias("ref2"))
+    long_ = refs.where(F.size("r") > LONG_LIST).select("r", F.posexplode("r").alias("i", "ref1")).select("ref1", F.slice("r", F.col("i") + 2, F.size("r")).alias("r"), F.lit(-1).alias("i")).repartition("ref1")
+    return pairs(first.where(F.size("r") <= LONG_LIST)).union(pairs(long_)).groupBy("ref1", "ref2").agg(F.count(F.lit(1)).alias("n"))
 
 
 def coupling(works: DataFrame) -> DataFrame:
-    """(work1, work2, shared): works that share references, by how many."""
+    """(work1, work2, shared): works that share references, by how many.
+
+    A reference of many works falls apart into parts of about BLOCK works;
+    every two parts meet once, so the pairs of a hot reference are spread over
+    tasks.  The result has a row for every pair that shares a reference: it
+    is that large by definition."""
     refs = clean_refs(works).distinct()
-    a, b = refs.alias("a"), refs.alias("b")
-    pairs = a.join(b, (F.col("a.ref") == F.col("b.ref")) & (F.col("a.work_id") < F.col("b.work_id")))
-    return pairs.groupBy(F.col("a.work_id").alias("work1"), F.col("b.work_id").alias("work2")).agg(F.count(F.lit(1)).alias("shared"))
+    parts = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int")
+    refs = refs.join(refs.groupBy("ref").agg(parts.alias("parts"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), "ref")
+    refs = refs.withColumn("part", F.pmod(F.xxhash64("work_id"), "parts").cast("int"))
+    refs = refs.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    refs = refs.select("ref", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "work_id")
+    a, b = refs.where("part = i").alias("a"), refs.where("part = j").alias("b")
+    same = (F.col("a.ref") == F.col("b.ref")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
+    pairs = a.join(b, same & ((F.col("a.i") < F.col("a.j")) | (F.col("a.work_id") < F.col("b.work_id"))))
+    ends = (F.least("a.work_id", "b.work_id").alias("work1"), F.greatest("a.work_id", "b.work_id").alias("work2"))
+    return pairs.select(*ends).groupBy("work1", "work2").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def top_pairs(pairs: DataFrame, n: int) -> DataFrame:

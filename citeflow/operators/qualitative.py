@@ -9,7 +9,14 @@ from citeflow.functions import text as T
 
 SPAN = 1 << 16
 # The groups of article_lists and the spellings they cover.
-GROUPS = {"bpmm": ["bpmm"], "scor": ["scor"], "bsc": ["bsc", "balanced scorecard"], "cmmi": ["cmmi"], "efqm": ["efqm"], "framework": ["framework"]}
+GROUPS = {
+    "BSC": ["Balanced Scorecard (BSC)"],
+    "Performance Pyramid": ["SMART System / Performance Pyramid"],
+    "Frameworks": ["Framework"],
+    "BPMM": ["BPMM"],
+    "SCOR": ["SCOR"],
+    "Matrix": ["Matrix"],
+}
 
 
 def ffill_article(markers: DataFrame) -> DataFrame:
@@ -94,6 +101,8 @@ def pivoted(long: DataFrame, names: list[str]) -> DataFrame:
 
 
 def article_lists(found: DataFrame, groups: dict[str, list[str]] = GROUPS) -> DataFrame:
-    """(grp, article): distinct articles by group of model spellings."""
-    key = F.create_map(*(F.lit(x) for g, names in groups.items() for n in names for x in (n, g)))
-    return found.select(F.try_element_at(key, F.lower("model")).alias("grp"), "article").where("grp is not null").distinct()
+    """(grp, article, model, used), distinct and by article: what is named of
+    each group of model spellings, in any case."""
+    key = F.create_map(*(F.lit(x) for g, names in groups.items() for n in names for x in (n.lower(), g)))
+    rows = found.select(F.try_element_at(key, F.lower("model")).alias("grp"), "article", "model", "used")
+    return rows.where("grp is not null").distinct().orderBy("grp", "article", "model", "used")

@@ -20,11 +20,11 @@ def _dated(works: DataFrame) -> DataFrame:
 
 
 def articles_per_year(works: DataFrame) -> DataFrame:
-    return _dated(works).groupBy("year").agg(F.count(F.lit(1)).alias("n_articles"))
+    return _dated(works).groupBy("year").agg(F.count(F.lit(1)).alias("n_articles")).orderBy("year")
 
 
 def pubs_cites_by_year(works: DataFrame) -> DataFrame:
-    return _dated(works).groupBy("year").agg(F.count(F.lit(1)).alias("n_articles"), F.coalesce(F.sum("cites"), F.lit(0.0)).alias("citations"))
+    return _dated(works).groupBy("year").agg(F.count(F.lit(1)).alias("n_articles"), F.coalesce(F.sum("cites"), F.lit(0.0)).alias("citations")).orderBy("year")
 
 
 def avg_cites_by_year(works: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def avg_cites_by_year(works: DataFrame) -> DataFrame:
 
 
 def uncited_by_year(works: DataFrame) -> DataFrame:
-    return _dated(works).where("cites is null or cites = 0").groupBy("year").agg(F.count(F.lit(1)).alias("n_uncited"))
+    return _dated(works).where("cites is null or cites = 0").groupBy("year").agg(F.count(F.lit(1)).alias("n_uncited")).orderBy("year")
 
 
 def most_cited(works: DataFrame, least: float = 100) -> DataFrame:

@@ -53,3 +53,15 @@ carried AS (
 models AS (
   SELECT mark, article, data AS model, used, CAST(regexp_extract(article, '(19|20)\\d{2}') AS INTEGER) AS year
   FROM carried WHERE NOT is_title AND article IS NOT NULL AND data IS NOT NULL)"""
+
+
+def named_markers(spark: SparkSession, d: str) -> DataFrame:
+    """The marker rows with model names in several spellings, some invalid."""
+    n = F.pmod(F.substring("data", 2, 9).cast("int"), F.lit(8))
+    names = F.array(*(F.lit(x) for x in NAMES))
+    return markers(spark, d).withColumn("data", F.when(F.col("status") == "Title", F.col("data")).otherwise(F.get(names, n)))
+
+
+NAMES = ("Balanced Scorecard (BSC)", "bpmm", "SCOR", "Framework - own", "Matrix", "SMART System / Performance Pyramid", "Not valid CSV text", "framework -x")
+_NAMED = "[" + ", ".join(f"'{x}'" for x in NAMES) + "][CAST(floor(value / 10) AS BIGINT) % 8 + 1]"
+NAMED = MODELS.replace("'M' || CAST(floor(value / 10) AS BIGINT)", _NAMED).replace("data AS model, used", "CASE WHEN lower(data) LIKE 'framework -%' THEN 'Framework' ELSE data END AS model, used").replace("data IS NOT NULL)", "data IS NOT NULL AND lower(data) <> 'not valid csv text')")

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from citeflow.functions import text as T
 from citeflow.operators import enrichment, graph, impact, mapping, qualitative, trends
-from citeflow.sources import writers
+from citeflow.sources import scratch, writers
 
-from .adapters import MODELS, WORKS, markers, works
+from . import graph_sql, round_trips
+from .adapters import MODELS, NAMED, WORKS, markers, named_markers, works
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -71,36 +72,45 @@ _on_works("top20_cocitation", lambda w: mapping.top_pairs(mapping.co_citation(w)
 _on_works("top20_coupling", lambda w: mapping.top_pairs(mapping.coupling(w), 20), "SELECT * FROM bc ORDER BY shared DESC, work1, work2 LIMIT 20", _BC)
 
 # graphs
-_GCC = _CC + ", g AS (SELECT ref1 AS src, ref2 AS dst, CAST(n AS DOUBLE) AS weight FROM cc ORDER BY n DESC, ref1, ref2 LIMIT 100)"
-_GBC = _BC + ", g AS (SELECT CAST(work1 AS VARCHAR) AS src, CAST(work2 AS VARCHAR) AS dst, CAST(shared AS DOUBLE) AS weight FROM bc ORDER BY shared DESC, work1, work2 LIMIT 100)"
+_GCC = _CC + ", g AS MATERIALIZED (SELECT ref1 AS src, ref2 AS dst, CAST(n AS DOUBLE) AS weight FROM cc ORDER BY n DESC, ref1, ref2 LIMIT 100)"
+_GBC = _BC + ", g AS MATERIALIZED (SELECT CAST(work1 AS VARCHAR) AS src, CAST(work2 AS VARCHAR) AS dst, CAST(shared AS DOUBLE) AS weight FROM bc ORDER BY shared DESC, work1, work2 LIMIT 100)"
 _cc = lambda w: mapping.graph(mapping.co_citation(w))
 _on_works("graph_build_cc", _cc, "SELECT * FROM g", _GCC)
 _on_works("graph_build_bc", lambda w: mapping.graph(mapping.coupling(w)), "SELECT * FROM g", _GBC)
 _on_works("degree", lambda w: graph.degree(_cc(w)), "SELECT node, count(*) AS degree FROM (SELECT src AS node FROM g UNION ALL SELECT dst FROM g) GROUP BY node", _GCC)
-_on_works("closeness", lambda w: graph.centralities(_cc(w)).select("node", F.round("closeness", 9).alias("closeness")))
+_on_works("closeness", lambda w: graph.centralities(_cc(w), ("closeness",)).withColumn("closeness", F.round("closeness", 9)))
 ORACLES["closeness"] = "WITH RECURSIVE " + WORKS + _GCC + """, e AS (SELECT src AS a, dst AS b FROM g UNION SELECT dst, src FROM g),
 walk AS (SELECT DISTINCT a AS s, a AS node, 0 AS k FROM e UNION SELECT s, b, k + 1 FROM walk JOIN e ON node = a WHERE k < 40),
 steps AS (SELECT s, node, min(k) AS k FROM walk GROUP BY 1, 2), size AS (SELECT count(DISTINCT a) AS n FROM e)
 SELECT s AS node, round(CAST(count(*) - 1 AS DOUBLE) / sum(k) * (count(*) - 1) / (max(n) - 1), 9) AS closeness FROM steps, size GROUP BY s"""
-for _m in ("betweenness", "eigenvector", "pagerank"):
-    _on_works(_m, lambda w, m=_m: graph.centralities(_cc(w)).select("node", m))
+for _m, _sql in (("betweenness", graph_sql.BETWEENNESS), ("eigenvector", graph_sql.EIGENVECTOR), ("pagerank", graph_sql.PAGERANK)):
+    _on_works(_m, lambda w, m=_m: graph.centralities(_cc(w), (m,)).withColumn(m, F.round(m, 9)))
+    ORACLES[_m] = "WITH RECURSIVE " + WORKS + _GCC + _sql
+_on_works("pagerank_large", lambda w: graph.pagerank_large(_cc(w)).select("node", F.round("rank", 9).alias("pagerank")))
+ORACLES["pagerank_large"] = ORACLES["pagerank"]
 for _how, _name in (("greedy", "comm_greedy"), ("label_propagation", "comm_lpa"), ("louvain", "comm_louvain")):
     _on_works(_name, lambda w, h=_how: graph.communities(_cc(w), h))
+_GREEDY = "WITH RECURSIVE " + WORKS + _GCC + graph_sql.GREEDY
+ORACLES["comm_greedy"] = _GREEDY + graph_sql.CLUSTERS
+ORACLES["comm_lpa"] = "WITH RECURSIVE " + WORKS + _GCC + graph_sql.LPA + graph_sql.CLUSTERS
 
 
 def _nodes(w):
-    edges = _cc(w)
-    return graph.communities(edges).join(graph.centralities(edges), "node")
+    edges = scratch.written(_cc(w))
+    return graph.communities(edges).join(graph.centralities(edges, ("degree",)), "node")
 
 
 _on_works("cluster_rank", lambda w: graph.legend(_nodes(w), "degree"))
+ORACLES["cluster_rank"] = _GREEDY + """, dg AS (SELECT node, count(*) AS d FROM (SELECT src AS node FROM g UNION ALL SELECT dst FROM g) GROUP BY node)
+SELECT cluster || '-' || row_number() OVER (PARTITION BY cluster ORDER BY d DESC, node) AS label, node, CAST(cluster AS INTEGER) AS cluster, CAST(d AS DOUBLE) AS value FROM clusters JOIN dg USING (node)"""
 _on_works("node_style", lambda w: graph.styled(graph.degree(_cc(w)), "degree"), r"""SELECT node, 15 + 40 * CAST(degree AS DOUBLE) / max(degree) OVER () AS size,
   'rgb(255, ' || CAST(trunc(200 - 100 * (CAST(degree AS DOUBLE) / max(degree) OVER ())) AS INTEGER) || ', ' || CAST(trunc(100 * (1 - CAST(degree AS DOUBLE) / max(degree) OVER ())) AS INTEGER) || ')' AS color,
   printf('%s' || chr(10) || 'degree: %.4f', node, CAST(degree AS DOUBLE)) AS title
   FROM (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM g UNION ALL SELECT dst FROM g) GROUP BY node)""", _GCC)
 _on_works("node_max", lambda w: graph.degree(_cc(w)).agg(F.coalesce(F.max("degree"), F.lit(1)).alias("most")), "SELECT coalesce(max(degree), 1) AS most FROM (SELECT count(*) AS degree FROM (SELECT src AS node FROM g UNION ALL SELECT dst FROM g) GROUP BY node)", _GCC)
-_on_works("edge_filter", lambda w: graph.inside(_cc(w), graph.degree(_cc(w)).where("degree > 1")), "SELECT src, dst, weight FROM g WHERE src IN (SELECT node FROM k) AND dst IN (SELECT node FROM k)", _GCC + ", k AS (SELECT node FROM (SELECT src AS node FROM g UNION ALL SELECT dst FROM g) GROUP BY node HAVING count(*) > 1)")
+_on_works("edge_filter", lambda w: (lambda e: graph.inside(e, graph.degree(e).where("degree > 1")))(scratch.written(_cc(w))), "SELECT src, dst, weight FROM g WHERE src IN (SELECT node FROM k) AND dst IN (SELECT node FROM k)", _GCC + ", k AS (SELECT node FROM (SELECT src AS node FROM g UNION ALL SELECT dst FROM g) GROUP BY node HAVING count(*) > 1)")
 _on_works("cluster_select", lambda w: graph.of_cluster(graph.communities(_cc(w)), 1))
+ORACLES["cluster_select"] = _GREEDY + graph_sql.CLUSTERS + " WHERE cluster = 1"
 
 
 # co-words, over documents
@@ -108,7 +118,7 @@ def _documents(s, d):
     return s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang", "source")
 
 
-_STOP = "(" + ", ".join(f"'{w}'" for w in mapping.STOPWORDS) + ")"
+_STOP = "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in mapping.STOPWORDS) + ")"
 _COWORD = f"""WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
 c AS (SELECT word, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(string_split_regex(t, '\\s+')) AS word FROM t WHERE contains(t, 'with'))
   WHERE regexp_full_match(word, '\\p{{L}}+') AND word <> 'with' AND word NOT IN {_STOP} GROUP BY word)"""
@@ -131,7 +141,10 @@ _on_models("recent_models", lambda m: qualitative.recent_models(m, 2024), "SELEC
 for _name, _used in (("yearly_cited", False), ("yearly_used", True)):
     _on_models(_name, lambda m, u=_used: qualitative.yearly(m, u), f"SELECT year, model, count(*) AS n FROM models WHERE used = {_used} AND year IS NOT NULL AND model IN (SELECT model FROM models WHERE used = {_used} AND year IS NOT NULL GROUP BY 1 HAVING count(*) > 10) GROUP BY 1, 2")
 _on_models("yearly_total", qualitative.yearly_total, "SELECT year, model, n FROM (SELECT *, max(k) OVER () AS most FROM (SELECT *, sum(n) OVER (PARTITION BY model) AS k FROM (SELECT year, model, count(*) AS n FROM models WHERE year IS NOT NULL GROUP BY 1, 2))) WHERE k > 20 OR most <= 20")
-_on_models("article_lists", lambda m: qualitative.article_lists(m, {"small": ["m0", "m1"], "large": ["m9"]}), "SELECT DISTINCT CASE WHEN lower(model) IN ('m0', 'm1') THEN 'small' ELSE 'large' END AS grp, article FROM models WHERE lower(model) IN ('m0', 'm1', 'm9')")
+_add("article_lists", lambda s, d: qualitative.article_lists(qualitative.models(named_markers(s, d))), f"""WITH {NAMED} SELECT DISTINCT grp, article, model, used FROM models JOIN (VALUES
+  ('BSC', 'balanced scorecard (bsc)'), ('Performance Pyramid', 'smart system / performance pyramid'), ('Frameworks', 'framework'), ('BPMM', 'bpmm'), ('SCOR', 'scor'), ('Matrix', 'matrix')) x(grp, low) ON lower(model) = low""")
+_add("model_alias", lambda s, d: qualitative.models(named_markers(s, d)).groupBy("model").agg(F.count(F.lit(1)).alias("n")), f"WITH {NAMED} SELECT model, count(*) AS n FROM models GROUP BY 1")
+_on_models("yearly_pivot", lambda m: qualitative.pivoted(qualitative.yearly_total(m), ["M0", "M1", "none"]), "SELECT year, CAST(count(*) FILTER (model = 'M0') AS BIGINT) AS \"M0\", CAST(count(*) FILTER (model = 'M1') AS BIGINT) AS \"M1\", CAST(0 AS BIGINT) AS \"none\" FROM models WHERE year IS NOT NULL GROUP BY year")
 _EMPTY = "SELECT event_id AS mark, data AS article FROM ev WHERE is_title AND event_id NOT IN (SELECT mark FROM models)"
 _add("articles_without_models", lambda s, d: qualitative.articles_without_models(markers(s, d)), f"WITH {MODELS} {_EMPTY}")
 _add("cited_bar", lambda s, d: (lambda m: qualitative.cited_bar(qualitative.models(m), m))(markers(s, d)), f"""WITH {MODELS}, n AS (SELECT model, count(*) AS n FROM models WHERE NOT used GROUP BY 1)
@@ -174,3 +187,7 @@ _on_works("extract_year", lambda w: w.select("work_id", T.year_in(F.concat("titl
 _on_works("doi_norm", lambda w: w.select("work_id", T.doi(F.concat(F.when(F.col("work_id") % 2 == 0, " https://doi.org/").otherwise("doi:"), F.lit("10.1/"), F.col("work_id").cast("string"))).alias("doi")), "SELECT work_id, '10.1/' || work_id AS doi FROM works")
 _on_works("orange_color", lambda w: w.where("cites is not null").select("work_id", T.orange(F.col("cites"), F.lit(600.0)).alias("color")), "SELECT work_id, 'rgb(255, ' || CAST(trunc(200 - 100 * (cites / 600.0)) AS INTEGER) || ', ' || CAST(trunc(100 * (1 - cites / 600.0)) AS INTEGER) || ')' AS color FROM works WHERE cites IS NOT NULL")
 _on_works("fmt_refs", lambda w: _snapshot(w).select("doi", T.work_ids(F.col("referenced_works")).alias("refs"), T.author_names(F.col("authorships")).alias("author")), "SELECT 'https://doi.org/10.1/' || work_id AS doi, refs, author FROM works WHERE work_id % 2 = 0")
+_on_works("url_quote", lambda w: w.select("work_id", T.quoted(F.concat("title", F.lit(" ~*'é&/?="), F.coalesce("author", F.lit("-")))).alias("q")), "SELECT work_id, replace(url_encode(title || ' ~*''é&/?=' || coalesce(author, '-')), '%20', '+') AS q FROM works")
+
+for _name, (_build, _sql) in round_trips.QUERIES.items():
+    _add(_name, _build, _sql)

@@ -17,9 +17,15 @@ from citeflow.functions import text as T
 TARGETS = ("Author", "Title", "Abstract", "Article References", "Times Cited", "Publication Year", "DOI", "Publisher", "Keywords")
 # Header spellings that mean a target column.
 ALIASES = {
-    "authors": "Author", "author": "Author", "author names": "Author", "title": "Title", "article title": "Title", "document title": "Title", "abstract": "Abstract",
-    "references": "Article References", "cited references": "Article References", "article references": "Article References", "times cited": "Times Cited", "citation count": "Times Cited", "cited by": "Times Cited",
-    "year": "Publication Year", "publication year": "Publication Year", "doi": "DOI", "publisher": "Publisher", "journal": "Publisher", "journal name": "Publisher", "keywords": "Keywords", "author keywords": "Keywords",
+    "authors": "Author", "author": "Author",
+    "title": "Title", "article title": "Title",
+    "abstract note": "Abstract", "abstract": "Abstract",
+    "references": "Article References", "article references": "Article References", "cited references": "Article References",
+    "publication year": "Publication Year", "year": "Publication Year",
+    "times cited": "Times Cited", "citations": "Times Cited", "citation count": "Times Cited",
+    "doi": "DOI",
+    "publisher": "Publisher", "journal": "Publisher", "journal name": "Publisher",
+    "keywords": "Keywords", "author keywords": "Keywords",
 }
 # RIS tags and BibTeX fields by target.
 RIS_TAGS = {"AU": "Author", "A1": "Author", "TI": "Title", "T1": "Title", "AB": "Abstract", "N2": "Abstract", "PY": "Publication Year", "Y1": "Publication Year", "DO": "DOI", "JO": "Publisher", "JF": "Publisher", "T2": "Publisher", "PB": "Publisher", "KW": "Keywords"}
@@ -49,10 +55,16 @@ def _sniff(head: str) -> str:
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Delimited text with a header; the delimiter is taken from the first
-    lines; UTF-8, or Latin-1 where the file isn't UTF-8."""
-    head = "\n".join(r.value for r in spark.read.text(path).limit(20).collect())
-    encoding = "UTF-8" if "�" not in head and not spark.read.text(path).where(F.contains("value", F.lit("�"))).limit(1).count() else "ISO-8859-1"
-    return spark.read.csv(path, header=True, sep=_sniff(head), encoding=encoding, multiLine=True, escape='"')
+    lines; UTF-8, or Latin-1 where any line isn't UTF-8.  One pass over the
+    raw lines finds out, and whether a quoted field may hold a line break:
+    only then a file can't be split among tasks."""
+    raw = spark.read.text(path)
+    quotes = F.char_length("value") - F.char_length(F.replace(F.col("value"), F.lit('"')))
+    state = raw.agg(F.bool_or(~F.is_valid_utf8("value")).alias("latin"), F.bool_or(quotes % 2 == 1).alias("open")).first()
+    encoding = "ISO-8859-1" if state["latin"] else "UTF-8"
+    head = "\n".join(r.value for r in spark.read.option("encoding", encoding).text(path).select(F.make_valid_utf8("value").alias("value")).limit(20).collect())
+    # the reader splits UTF-8 files only
+    return spark.read.csv(path, header=True, sep=_sniff(head), encoding=encoding, multiLine=bool(state["open"] or state["latin"]), escape='"')
 
 
 def _files(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
@@ -69,11 +81,11 @@ def _files(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
 _RECORD = ", ".join(f"`{c}` string" for c in TARGETS)
 
 
-def parse_ris(content: bytes) -> list[dict]:
-    """Records of a RIS file; repeated authors join by ', ', keywords by '; '.
-    A record without ER at the end of the file counts."""
+def parse_ris(text: str) -> list[dict]:
+    """Records of RIS lines; repeated authors join by ', ', keywords by '; '.
+    A record without ER at the end counts."""
     out, now = [], {}
-    for line in [*content.decode("utf-8").lstrip("﻿").splitlines(), "ER  - "]:
+    for line in [*text.lstrip("\ufeff").splitlines(), "ER  - "]:
         m = re.match(r"^([A-Z][A-Z0-9])  -\s?(.*)$", line)
         if not m:
             continue
@@ -127,13 +139,16 @@ def parse_bib(content: bytes) -> list[dict]:
 
 
 def parse_xlsx(content: bytes) -> list[list]:
-    """Rows of the first sheet, as text."""
+    """Rows of the workbook's first sheet, as text."""
     ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in si.iter(f"{{{ns['m']}}}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", ns)]
-        sheet = sorted((n for n in z.namelist() if re.match(r"xl/worksheets/sheet\d+\.xml$", n)), key=lambda n: int(re.findall(r"\d+", n)[0]))[0]
+        first = ElementTree.fromstring(z.read("xl/workbook.xml")).find("m:sheets/m:sheet", ns)
+        own = first.get("{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id")
+        target = next(r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")) if r.get("Id") == own)
+        sheet = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
         rows = []
         for row in ElementTree.fromstring(z.read(sheet)).iter(f"{{{ns['m']}}}row"):
             cells, at = {}, 0  # a cell without a reference follows the one before
@@ -163,7 +178,14 @@ def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ris(spark: SparkSession, path: str) -> DataFrame:
-    return _files(spark, path, parse_ris, _RECORD)
+    """Records of RIS files, which Spark splits at their ER lines; bytes that
+    aren't UTF-8 are an error."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame([r for text in pdf["value"] for r in parse_ris(text)], columns=list(TARGETS), dtype=object)
+
+    return spark.read.text(path, lineSep="\nER  -").select(F.validate_utf8("value").alias("value")).mapInPandas(run, _RECORD)
 
 
 def read_bib(spark: SparkSession, path: str) -> DataFrame:

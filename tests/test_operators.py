@@ -115,7 +115,7 @@ def test_files(spark, tmp_path):
     assert (r["Title"], r["Author"], r["Publication Year"], r["Publisher"], r["DOI"]) == ("A Nested title", "A B, C D", 2020.0, "Jour", "10.1/x")
     writers.write_text(writers.to_ris(readers.read_works(spark, f"{tmp_path}/a.bib")), f"{tmp_path}/out")
     text = "\n".join(r.value for r in spark.read.text(f"{tmp_path}/out").collect())
-    assert readers.parse_ris(text.encode())[0]["Title"] == "A Nested title"
+    assert readers.parse_ris(text)[0]["Title"] == "A Nested title"
     bib = writers.to_bib(readers.read_works(spark, f"{tmp_path}/a.bib")).first()["value"]
     assert readers.parse_bib(bib.encode())[0]["Author"] == "A B, C D"
     (tmp_path / "a.xlsx").write_bytes(writers.xlsx_bytes(spark.createDataFrame([("X", 2020.0), (None, 1.0)], "Title string, Year double")))
@@ -128,3 +128,161 @@ def test_files(spark, tmp_path):
 def test_csv_block():
     assert extraction.csv_block("Here it is\nmodel,used,quote\na,yes,q\nb,no,r\nx,y\n") == "model,used,quote\na,yes,q\nb,no,r"
     assert extraction.csv_block("model,used\n") is None and extraction.csv_block(None) is None
+
+
+def test_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Title,Citations,Abstract Note,Journal Name\nT,7,words,J\n")
+    r = readers.read_works(spark, f"{tmp_path}/a.csv").first()
+    assert (r["Times Cited"], r["Abstract"], r["Publisher"], r["Author"]) == (7.0, "words", "J", None)
+
+
+def test_csv_encodings(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Title,Note\nCaf\u00e9 \ufffd,x\n", "utf-8")
+    assert readers.read_works(spark, f"{tmp_path}/a.csv").first()["Title"] == "Caf\u00e9 \ufffd"
+    (tmp_path / "b.csv").write_bytes('Title|Note\n"Caf\u00e9\nbar"|x\n'.encode("latin-1"))
+    assert readers.read_works(spark, f"{tmp_path}/b.csv").first()["Title"] == "Caf\u00e9\nbar"
+
+
+def test_ris_records(spark, tmp_path):
+    many = "".join(f"TY  - JOUR\nT1  - One {i}\nAB  - the NUMBER  - of {i}\nER  - \n\n" for i in range(500))
+    (tmp_path / "a.ris").write_text(many)
+    got = readers.read_works(spark, f"{tmp_path}/a.ris").orderBy("row_id").collect()
+    assert [(r["Title"], r["Abstract"]) for r in got] == [(f"One {i}", f"the NUMBER  - of {i}") for i in range(500)]
+
+
+def test_workbook_order_and_odd_numbers(spark):
+    import io
+    import zipfile
+
+    book = writers.xlsx_bytes(spark.createDataFrame([("X", float("nan")), ("Y", float("inf"))], "Title string, n double"))
+    assert readers.parse_xlsx(book) == [["Title", "n"], ["X"], ["Y", "inf"]]
+    # the workbook names the second file first
+    old = {n: zipfile.ZipFile(io.BytesIO(book)).read(n).decode() for n in zipfile.ZipFile(io.BytesIO(book)).namelist()}
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for n, x in old.items():
+            if n == "xl/_rels/workbook.xml.rels":
+                x = x.replace("worksheets/sheet1.xml", "worksheets/sheet2.xml")
+            z.writestr(n, x)
+        z.writestr("xl/worksheets/sheet2.xml", old["xl/worksheets/sheet1.xml"].replace("Title", "Second"))
+    assert readers.parse_xlsx(out.getvalue())[0] == ["Second", "n"]
+
+
+def test_weighted_paths(spark):
+    import itertools
+    import random
+
+    random.seed(8)
+    edges = [(f"n{a}", f"n{b}", float(random.randint(1, 4))) for a, b in itertools.combinations(range(8), 2) if random.random() < 0.45]
+    w = {(a, b): x for s, d, x in edges for a, b in ((s, d), (d, s))}
+    nodes = sorted({a for a, _ in w})
+
+    def shortest(s, t):
+        best, found = float("inf"), []
+
+        def go(path, d):
+            nonlocal best, found
+            if d > best:
+                return
+            if path[-1] == t:
+                if d < best:
+                    best, found = d, []
+                found.append(path)
+                return
+            for b in nodes:
+                if (path[-1], b) in w and b not in path:
+                    go([*path, b], d + w[path[-1], b])
+
+        go([s], 0.0)
+        return found
+
+    want = dict.fromkeys(nodes, 0.0)
+    for s, t in itertools.combinations(nodes, 2):
+        found = shortest(s, t)
+        for p in found:
+            for v in p[1:-1]:
+                want[v] += 1 / len(found)
+    df = spark.createDataFrame(edges, "src string, dst string, weight double")
+    n = len(nodes)
+    for r in graph.centralities(df, ("betweenness",)).collect():
+        assert r["betweenness"] == pytest.approx(2 * want[r["node"]] / ((n - 1) * (n - 2)))
+
+
+def test_pagerank_large(spark):
+    df = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 2.0)], "src string, dst string, weight double")
+    got = {r["node"]: r["rank"] for r in graph.pagerank_large(df, tolerance=1e-10).collect()}
+    assert got["b"] == pytest.approx(0.15 / 3 + 0.85 * (got["a"] + got["c"]), abs=1e-8) and got["b"] == pytest.approx(0.48649, abs=1e-5)
+    same = {r["node"]: r["pagerank"] for r in graph.centralities(df, ("pagerank",)).collect()}
+    assert {k: round(v, 6) for k, v in same.items()} == {r["node"]: round(r["rank"], 6) for r in graph.pagerank_large(df).collect()}
+
+
+def test_bounded_graphs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MOST_EDGES", 2)
+    df = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 2.0), ("c", "d", 2.0)], "src string, dst string, weight double")
+    with pytest.raises(ValueError, match="more than 2 edges"):
+        graph.communities(df)
+
+
+def test_hot_references(spark, monkeypatch):
+    import random
+
+    random.seed(5)
+    works = spark.createDataFrame([(i, "; ".join(sorted({f"W{random.randint(0, 9)}" for _ in range(6)} | {"W hot"}))) for i in range(40)], "work_id long, refs string")
+    pairs, coupled = rows(mapping.co_citation(works)), rows(mapping.coupling(works))
+    monkeypatch.setattr(mapping, "BLOCK", 7)
+    monkeypatch.setattr(mapping, "LONG_LIST", 3)
+    assert rows(mapping.co_citation(works)) == pairs and rows(mapping.coupling(works)) == coupled
+    assert len(coupled) == 40 * 39 // 2
+
+
+def test_graph_page(spark):
+    nodes = spark.createDataFrame([("a<", 20.0, "red"), ("b", 15.0, None)], "id string, size double, color string")
+    edges = spark.createDataFrame([("a<", "b", 2.0)], "src string, dst string, weight double")
+    page = writers.graph_html(nodes, edges)
+    assert page.count("<circle ") == 2 and page.count("<line ") == 1 and 'r="10.0" fill="red"' in page and "a&lt;" in page
+
+
+def test_article_lists(spark):
+    found = spark.createDataFrame([("P", "bpmm", True), ("P", "BPMM", True), ("A", "Matrix", False), ("A", "Matrix", False), ("B", "cmmi", True)], "article string, model string, used boolean")
+    assert [tuple(r) for r in qualitative.article_lists(found).collect()] == [("BPMM", "P", "BPMM", True), ("BPMM", "P", "bpmm", True), ("Matrix", "A", "Matrix", False)]
+
+
+def test_oracles(spark):
+    """Sources, sinks and graph queries against their DuckDB forms."""
+    import duckdb
+    from pathlib import Path
+
+    from citeflow.plans import catalog, round_trips
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for p in Path(d).glob("*.parquet"):
+        con.sql(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    for name in (*round_trips.QUERIES, "betweenness", "eigenvector", "pagerank_large", "comm_greedy", "comm_lpa", "cluster_rank", "article_lists", "model_alias"):
+        got = catalog.QUERIES[name](spark, d)
+        want = con.sql(catalog.ORACLES[name])
+        order = sorted(got.columns)
+        assert sorted(want.columns) == order, name
+        flat = lambda rs, cols: sorted(repr([round(v, 8) if isinstance(v, float) else v for v in (r[cols.index(c)] for c in order)]) for r in rs)
+        assert flat([tuple(r) for r in got.collect()], got.columns) == flat(want.fetchall(), want.columns), name
+
+
+def test_louvain(spark):
+    """A partition whose modularity no merging improves, as good as the planted one."""
+    import random
+
+    import numpy as np
+
+    random.seed(2)
+    edges = [(f"n{a:02d}", f"n{b:02d}", float(random.randint(1, 5))) for a in range(30) for b in range(a) if random.random() < (0.5 if a // 10 == b // 10 else 0.04)]
+    got = {r["node"]: r["cluster"] for r in graph.communities(spark.createDataFrame(edges, "src string, dst string, weight double"), "louvain").collect()}
+    names = sorted(got)
+    w = np.zeros((len(names), len(names)))
+    for s, d, x in edges:
+        w[names.index(s), names.index(d)] = w[names.index(d), names.index(s)] = x
+    of = np.array([got[x] for x in names])
+    best = graph.modularity(w, of)
+    assert best > 0.3
+    groups = set(of.tolist())
+    assert all(graph.modularity(w, np.where(of == a, b, of)) <= best + 1e-9 for a in groups for b in groups)
+    assert best >= graph.modularity(w, np.arange(len(names)) // 10) - 1e-9
