@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import forget, key_of, written
+from .shared import forget, key_of, small_batches, written
 
 U = np.uint64
 
@@ -28,6 +28,7 @@ def deal(docs: DataFrame, block_bytes: int, columns: list[str]) -> tuple[DataFra
     """(docs with only ``columns``, _times and _block; total bytes of text;
     whether rows repeat).  Rows that repeat doc_id and text stand once, with
     their number in _times, so copies of one row don't fill a block."""
+    small_batches(docs.sparkSession)
     rows = docs.select(*columns, key_of().alias("_key"), F.xxhash64(F.lit(1), "text", "doc_id").alias("_more"))
     each = written(rows.groupBy("_key", "_more").agg(F.count(F.lit(1)).alias("_times"), F.first(F.octet_length("text")).alias("n")))
     total = each.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.max("_times").alias("most")).first()
@@ -49,6 +50,37 @@ def split(keys: np.ndarray, n: int) -> np.ndarray:
     return ((mix(keys ^ U(0x5851F42D4C957F2D)) >> U(32)) * U(n) >> U(32)).astype(np.int64)
 
 
+class Places:
+    """Where each of some distinct keys stands, by a hash table: random
+    look-ups, unlike a binary search, touch it once or twice."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.mask = (1 << max(4, (3 * len(keys)).bit_length())) - 1
+        self.slots = np.full(self.mask + 1, -1, np.int32)
+        left, at = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]
+            lost = self.slots[at] != left
+            left, at = left[lost], (at[lost] + 1) & self.mask
+
+    def _slot(self, x: np.ndarray) -> np.ndarray:
+        x = x ^ (x >> U(32))
+        return ((x * U(0x9E3779B97F4A7C15)) >> U(64 - self.mask.bit_length())).astype(np.int64)
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """Places of x, which must all be there."""
+        at = self._slot(x)
+        out = self.slots[at]
+        wrong = np.flatnonzero(self.keys[out] != x)
+        while len(wrong):
+            at[wrong] = (at[wrong] + 1) & self.mask
+            out[wrong] = self.slots[at[wrong]]
+            wrong = wrong[self.keys[out[wrong]] != x[wrong]]
+        return out
+
+
 def sorted_ranges(keys: np.ndarray, counts: np.ndarray, n: int):
     """Yield (range, keys, counts) of sorted distinct keys by range."""
     r = split(keys, n)

@@ -69,15 +69,23 @@ def learnt(table: pa.Table) -> np.ndarray:
 
 def gram_counts(table: pa.Table):
     """Distinct keys of a block, and how often its training texts have them."""
-    train, keys, counts = learnt(table), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    train, keys, counts = learnt(table), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for a, k, bounds in grams(table["text"]):
         use = np.repeat(train[a : a + len(bounds) - 1], np.diff(bounds))
-        for weight in np.unique(use).tolist():
+        for weight in np.unique(train[a : a + len(bounds) - 1]).tolist():
             u, n = np.unique(k[use == weight], return_counts=True)
-            every, inverse = np.unique(np.concatenate((keys, u)), return_inverse=True)
-            counts = np.bincount(inverse, np.concatenate((counts, n * weight)), len(every)).astype(np.int64)
-            keys = every
-    return keys, counts
+            keys.append(u)
+            counts.append(n * weight)
+    keys, counts = np.concatenate(keys), np.concatenate(counts)
+    by = np.argsort(keys)
+    keys = keys[by]
+    first = np.flatnonzero(np.concatenate((keys[:1] == keys[:1], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(counts[by], first) if len(first) else counts
+
+
+def gram_keys(table: pa.Table) -> np.ndarray:
+    """Distinct keys of a block, as ``gram_counts`` gives them."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(k) for _, k, _ in grams(table["text"]))]))
 
 
 def word_counts(table: pa.Table):
@@ -281,7 +289,7 @@ def score(docs: DataFrame, block_bytes: int = 16 << 20, range_bytes: int = 16 <<
         h, bounds = words(table["text"], lower=True)
         keys = np.unique(np.concatenate((h, [END_TOKEN])))
         total = blocks.answered(keys, answer, n, np.int64)
-        at = np.searchsorted(keys, h)
+        at = blocks.Places(keys).of(h)
         end = int(total[np.searchsorted(keys, END_TOKEN)])
         doc = np.repeat(np.arange(table.num_rows), np.diff(bounds))
         sums = lambda x: np.bincount(doc, x, table.num_rows)
@@ -289,12 +297,12 @@ def score(docs: DataFrame, block_bytes: int = 16 << 20, range_bytes: int = 16 <<
         known = sums(total[at] > 0) + (end > 0)
         answer = answers.filter(pa.array(of_grams))
         answer = answer.set_column(answer.schema.get_field_index("r"), "r", pa.array([-1 - x for x in answer["r"].to_pylist()], pa.int32()))
-        keys = gram_counts(table)[0]
+        keys = gram_keys(table)
         value = blocks.answered(keys, answer, n, np.float32)
-        result = np.zeros(table.num_rows)
+        result, places = np.zeros(table.num_rows), blocks.Places(keys)
         for a, k, cuts in grams(table["text"]):
             # every text has at least its end, so no run is empty
-            result[a : a + len(cuts) - 1] = np.add.reduceat(value[np.searchsorted(keys, k)].astype(float), cuts[:-1])
+            result[a : a + len(cuts) - 1] = np.add.reduceat(value[places.of(k)].astype(float), cuts[:-1])
         sizes = np.diff(text_bytes(table["text"])[1])
         values = (table["doc_id"], table["held_out"], np.diff(bounds) + 1, known.astype(np.int64), sizes, logged, result, table["_times"])
         return pa.table({k: (v.cast(t) if isinstance(v, pa.ChunkedArray) else pa.array(v, t)) for k, t, v in zip(names, kinds, values, strict=True)})

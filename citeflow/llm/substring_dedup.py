@@ -50,7 +50,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, block_bytes: int = 8 << 20
         h, bounds, at, w = own(table)
         keys = np.unique(w)
         hit = blocks.answered(keys, answers, n, np.uint8) >= 2
-        again = at[hit[np.searchsorted(keys, w)]] if len(keys) else at
+        again = at[hit[blocks.Places(keys).of(w)]] if len(keys) else at
         cover = np.zeros(len(h) + 1, np.int32)
         np.add.at(cover, again, 1)
         np.add.at(cover, again + window, -1)
