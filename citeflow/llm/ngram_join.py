@@ -16,9 +16,9 @@ from .shared import components, forget, repeated, written
 from .text import mix, shingle_sets
 
 SETS = "doc_id long, n_shingles long, c1 long, c2 long, prefix array<long>, shingles array<long>, _times long"
-#: Rows that are searched at once: of a star, and of a part of a list; rows of
-#: short lists that go to one task together.
-STAR, GROUP, TOGETHER = 64, 128, 2048
+#: Sets that are searched at once: of a star, and of a part of an area or list;
+#: sets of areas that are searched whole; rows of small lots for one task.
+STAR, GROUP, AREA, TOGETHER = 64, 128, 1024, 2048
 
 
 def divide_skip(lists: list[list[int]], need: int) -> list[int]:
@@ -168,7 +168,7 @@ def document_sets(docs: DataFrame, k: int, percent: int, block_bytes: int, range
         keys = np.unique(cut)
         answer = dict(zip(answers["r"].to_pylist(), answers["answer"].to_pylist(), strict=True))
         total = np.frombuffer(b"".join(answer[i] for i in sorted(answer)), np.uint8)
-        df = total[np.searchsorted(keys, cut)] if len(keys) else np.zeros(0, np.uint8)
+        df = total[blocks.Places(keys).of(cut)] if len(keys) else np.zeros(0, np.uint8)
         at, rows = 0, ([], [], [], [], [], [], table["_times"].to_pylist())
         for x, doc in zip(sets, table["doc_id"].to_pylist(), strict=True):
             m = len(x)
@@ -204,9 +204,10 @@ def join(docs: DataFrame, k: int = 5, percent: int = 75, block_bytes: int = 8 <<
       first held against the smallest candidate of its shingles, which joins
       a group of near copies by a star and not by all pairs;
     * sets that share a prefix shingle and still lie in different components
-      are searched against each other by T-occurrence (``divide_skip``), list
-      by list of the sets that have the shingle, equal lists once, and long
-      lists in pairs of parts.
+      are searched against each other by T-occurrence (``divide_skip``): an
+      area of up to AREA sets that shingles connect as a whole, and larger
+      ones list by list of the sets that have a shingle, equal lists once;
+      both in pairs of parts of GROUP sets where there are more.
 
     Texts that are null or have no word have an empty set and are linked with
     nothing.  Rows that share a doc_id are one document with several texts,
@@ -243,12 +244,18 @@ def join(docs: DataFrame, k: int = 5, percent: int = 75, block_bytes: int = 8 <<
     placed = written(placed.select("key", "rep", F.coalesce("component", "rep").alias("label")))
     forget(entries)
     lists = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), *(F.bit_xor(F.xxhash64(F.lit(i), "rep")).alias(f"x{i}") for i in (0, 1)))
-    lists = lists.where("low <> high").groupBy("n", "x0", "x1").agg(F.min("key").alias("key"))
-    rest = written(placed.join(lists.select("key", "n"), "key"))
-    forget(placed)
-    tasks = max(1, rest.count() // TOGETHER)
+    lists = written(lists.where("low <> high").groupBy("n", "x0", "x1").agg(F.min("key").alias("key"), F.first("low").alias("low")))
+    rest = written(placed.join(lists.select("key", "n", "low"), "key"))
+    forget(placed, lists)
+    # labels that lists connect are an area, small ones are searched whole
+    areas = components(rest.select(F.col("label").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("label"), F.col("component").alias("area"))
+    own = written(rest.select("rep", "label").distinct().join(areas, "label", "left").select("rep", "label", F.coalesce("area", "label").alias("area")))
+    small = written(own.groupBy("area").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= AREA))
+    large = own.join(small, "area", "left_anti").select("rep")
+    lots = own.join(small, "area").select(F.col("area").alias("key"), "rep", "label", "n").union(rest.join(large, "rep", "left_semi").select("key", "rep", "label", "n"))
+    tasks = max(1, own.count() // TOGETHER)
     parts = F.ceil(F.col("n") / GROUP).cast("int")
-    rest = rest.select("key", F.col("rep").alias("doc_id"), "label", parts.alias("parts"), F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"))
+    rest = lots.select("key", F.col("rep").alias("doc_id"), "label", parts.alias("parts"), F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     lot = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))
     rest = rest.select(lot.alias("lot"), F.when(F.col("parts") == 1, F.pmod(F.xxhash64("key"), F.lit(tasks))).otherwise(lot).alias("task"), "doc_id", "label", (F.col("part") <= F.col("other")).alias("asks"), (F.col("part") >= F.col("other")).alias("held"))
