@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import whole, written
+from .shared import checked, whole, written
 
 #: Blocks of a source at most, words of a block at least, blocks of all
 #: sources (beside one for each), and sources whose quotas one task splits.
@@ -108,8 +108,8 @@ def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: floa
     to the document that comes nearest.  Blocks go to shards by ``split_tree``
     and keep a hashed order inside them.  Everything is a function of the
     rows, so reruns agree.  The plan has at most BLOCKS rows a source and
-    ALL_BLOCKS beside one for each source; Spark broadcasts it while its file
-    is small and joins it otherwise.
+    ALL_BLOCKS beside one for each source; it is broadcast while it has few
+    rows (see ``checked``) and joined otherwise.
 
     Null texts have size 0 and are never taken; nulls in other columns don't
     matter.  Of rows that repeat another whole as many are taken as come
@@ -120,6 +120,9 @@ def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: floa
     slim = written(sized.select("source", "size", "h"))
     sources = source_table(slim.groupBy("source").agg(F.sum("size").alias("n")), weights, share, most)
 
+    if int(sources.agg(F.sum(F.length("source"))).first()[0] or 0) < 4 << 20:
+        sources = checked(sources)
+
     def place(rows: DataFrame) -> DataFrame:
         out = rows.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).drop("source")
         return out.withColumn("b", F.pmod("h", "blocks").cast("int"))
@@ -133,7 +136,7 @@ def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: floa
 
     # the block that the quota ends in: its rows in hashed order, up to the nearest
     edge = written(blocks.where("rest > 0 and rest < words").select("s", "b", "rest"))
-    inside = place(slim).join(edge, ["s", "b"]).groupBy("s", "b", "rest", "h").agg(F.first("size").alias("size"), F.count(F.lit(1)).alias("times"))
+    inside = place(slim).join(checked(edge), ["s", "b"]).groupBy("s", "b", "rest", "h").agg(F.first("size").alias("size"), F.count(F.lit(1)).alias("times"))
     run = F.sum(F.col("size") * F.col("times")).over(Window.partitionBy("s", "b").orderBy("h"))
     cut = inside.withColumn("before", run - F.col("size") * F.col("times")).where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("size") * F.col("times")))
     cut = written(cut.select("s", "b", F.col("h").alias("cut"), "times", F.round((F.col("rest") - F.col("before")) / F.col("size")).cast("long").alias("some")))
@@ -146,7 +149,7 @@ def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: floa
     each = F.when(F.col("passes") > 0, each).otherwise(F.array().cast("array<int>"))
     plan = written(plan.select("s", "b", "passes", "rest", "words", "cut", "times", "some", each.alias("each"), shard(F.col("passes") * F.col("all") + F.col("rank")).alias("last")))
 
-    out = place(sized).join(plan, ["s", "b"])
+    out = place(sized).join(checked(plan), ["s", "b"])
     also = (F.col("rest") > 0) & ((F.col("rest") >= F.col("words")) | (F.col("h") < F.col("cut")) | ((F.col("h") == F.col("cut")) & (F.col("some") == F.col("times"))))
     out = out.select("row", "size", "n", "target", "h", "passes", "each", "last", F.coalesce(also, F.lit(False)).alias("also"), F.when((F.col("h") == F.col("cut")) & (F.col("some") > 0) & (F.col("some") < F.col("times")), F.col("some")).alias("some"))
     if cut.where("some > 0 and some < times").limit(1).count():

@@ -53,6 +53,22 @@ def forget(*tables: DataFrame) -> None:
         fs.delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches from 64 MB to 4 MB, unless they were
+    set: rows are whole texts here, and a task holds several copies of its
+    batch, in the JVM and in Python."""
+    for name, default in (("maxBytesPerBatch", 64 << 20), ("maxBytesPerOutputBatch", -1)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(key, f"{default}b") == f"{default}b":
+            spark.conf.set(key, "4m")
+
+
+def checked(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A table of narrow rows, to be broadcast where it has at most so many;
+    larger ones are joined as Spark sees fit."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def whole(docs: DataFrame, *more: Column) -> DataFrame:
     """``docs`` as one column ``row`` beside columns of our own, so that no
     name of theirs can clash; ``select("row.*")`` gives them back."""
