@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import key_of, whole, written
+from .shared import checked, key_of, small_batches, whole, written
 from .text import mix, pieces, powers, text_bytes, words
 
 U = np.uint64
@@ -96,16 +96,18 @@ def templates(bodies: DataFrame, least_docs: int, depth: int, similar: float) ->
 def recurring(docs: DataFrame, least_docs: int = 4, least_words: int = 1, depth: int = 3, similar: float = 0.8) -> DataFrame:
     """Lines to drop: key (of the row's doc_id and text) and line (from 0),
     with the line's template and its number of documents."""
+    small_batches(docs.sparkSession)
     keyed = docs.select(key_of().alias("key"), "doc_id", "text")
     lines = keyed.mapInArrow(parsed(depth, least_words), LINES)
     busy = lines.where("cells is not null").groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs).select("leaf")
     lines = written(lines.join(written(busy), "leaf"))
     bodies = written(lines.where("cells is not null").groupBy("leaf", "body").agg(F.count(F.lit(1)).alias("n"), F.first("cells").alias("cells")))
-    told = lines.select("key", "doc_id", "line", "leaf", "body").join(templates(bodies, least_docs, depth, similar), ["leaf", "body"])
+    shapes = checked(written(templates(bodies, least_docs, depth, similar)))
+    told = lines.select("key", "doc_id", "line", "leaf", "body").join(shapes, ["leaf", "body"])
     told = written(told.select("key", "doc_id", "line", "template"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
     known = told.select("template", "key", "doc_id").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"), first.alias("first"))
-    known = known.where(F.col("n_docs") >= least_docs).select("template", "n_docs", F.col("first.key").alias("first_key"))
+    known = checked(written(known.where(F.col("n_docs") >= least_docs).select("template", "n_docs", F.col("first.key").alias("first_key"))))
     return told.join(known, "template").where("key <> first_key").select("key", "line", "template", "n_docs")
 
 
