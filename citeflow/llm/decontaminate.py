@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import key_of, whole, written
+from .shared import checked, key_of, small_batches, whole, written
 from .text import PUNCTUATION, mix, pieces, powers, words
 
 U = np.uint64
@@ -23,6 +23,8 @@ LEAST, SHARE, SPAN = 10, 0.75, max(map(len, MASKS))
 FILTER_BITS, FILTER_MOST, PROBES = 32, 1 << 28, 4
 #: Word positions of one document that are verified in one row.
 STRETCH = 4096
+#: Pairs of a document and an item up to which they are sent to the texts.
+MEETS = 100_000
 
 
 def spaced(h: np.ndarray, mask: str) -> np.ndarray:
@@ -107,6 +109,7 @@ def _batch(**columns) -> pa.RecordBatch:
 def benchmark_tables(benchmark: DataFrame, least: int, share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(names, items, seeds), written: item_id by item; each distinct word
     sequence once; and its seeds with their place and the words around."""
+    small_batches(benchmark.sparkSession)
     reach = reach_of(least, share)
 
     def split(batches):
@@ -193,7 +196,8 @@ def met(docs: DataFrame, seeds: DataFrame, least: int, share: float) -> DataFram
 def found(docs: DataFrame, items: DataFrame, seeds: DataFrame, least: int, share: float) -> DataFrame:
     """(key, item, first, n_words, n_same): the best overlap of every document
     and item that have one, judged on all their words."""
-    lists = met(docs, seeds, least, share).groupBy("key", F.floor(F.col("shift") / STRETCH).alias("part")).agg(F.collect_list(F.struct("item", "shift", "n")).alias("meets"))
+    near = written(met(docs, seeds, least, share))
+    lists = near.groupBy("key", F.floor(F.col("shift") / STRETCH).alias("part")).agg(F.collect_list(F.struct("item", "shift", "n")).alias("meets"))
 
     def cut(batches):
         for batch in pieces(batches, 1 << 18):
@@ -210,6 +214,8 @@ def found(docs: DataFrame, items: DataFrame, seeds: DataFrame, least: int, share
             yield _batch(**{k: pa.array([r[j] for r in rows], t) for j, (k, t) in enumerate(kinds)})
 
     kinds = [("key", pa.int64()), ("item", pa.int64()), ("shift", pa.int64()), ("lo", pa.int64()), ("part", pa.binary())]
+    if near.limit(MEETS + 1).count() <= MEETS:
+        lists = F.broadcast(lists)
     texts = docs.select(key_of().alias("key"), "text").join(lists, "key").select("key", "text", "meets")
     cuts = texts.mapInArrow(cut, "key long, item long, shift long, lo long, part binary")
 
@@ -233,7 +239,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share:
     ``overlaps``); repeated rows stay or go together, null texts stay."""
     _, items, seeds = benchmark_tables(benchmark, least, share)
     bad = written(found(docs, items, seeds, least, share).select("key").distinct())
-    return whole(docs, key_of().alias("key")).join(bad, "key", "left_anti").select("row.*")
+    return whole(docs, key_of().alias("key")).join(checked(bad), "key", "left_anti").select("row.*")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
@@ -255,7 +261,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share: f
     are ignored.  Empty tables give an empty result."""
     names, items, seeds = benchmark_tables(benchmark, least, share)
     best = written(found(docs, items, seeds, least, share))
-    out = best.join(names, "item").join(docs.select(key_of().alias("key"), "doc_id"), "key")
+    out = checked(best.join(names, "item")).join(docs.select(key_of().alias("key"), "doc_id"), "key")
     return out.select("doc_id", "item_id", "first", "n_words", "n_same")
 
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
 from .text import PUNCTUATION, pieces, words
 
 #: Cells of a table of counts; tokens and stems are hashed into it.
@@ -119,6 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20000):
     counts, the rest the calibration.  Any label but 0 is toxic, and so is a
     doc_id labelled both ways; labels that are null or without a document are
     left out."""
+    small_batches(docs.sparkSession)
     rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~_held(F.col("doc_id")))
     rows = rows.groupBy("doc_id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeflow.llm import decontaminate, line_dedup, mixing, ngram_join, toxicity
-from citeflow.llm.shared import whole, written
+from citeflow.llm.shared import checked, whole, written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     state = found.where("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("component_id").alias("component_id"))
     state = written(state.where("component_id <> doc_id or rows > 1").select(F.col("doc_id").alias("id"), (F.col("component_id") == F.col("doc_id")).alias("first")))
     said = F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
-    keyed = whole(docs, me.alias("id"), F.xxhash64("text").alias("key"), said.alias("said")).join(state, "id", "left")
+    keyed = whole(docs, me.alias("id"), F.xxhash64("text").alias("key"), said.alias("said")).join(checked(state), "id", "left")
     kept = keyed.where("first is null or not said").select("row")
     if state.where("first").limit(1).count():  # rows that share the doc_id that stays
         first = F.min_by("row", F.struct("key", F.xxhash64(F.to_json("row"))))
