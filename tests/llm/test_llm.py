@@ -221,40 +221,59 @@ def test_decontamination_masks():
         assert all(holds(runs(n, need), n, decontaminate.masks_of(size, 10, 0.75)) for n in range(need, size + 1))
 
 
-def found(item, doc):
-    from citeflow.llm.text import PUNCTUATION, words
-
-    h, bounds = words(pa.array(doc, pa.large_string()), lower=True, space=PUNCTUATION)
-    return [x[2:] for x in decontaminate.Seeds([1], [item]).search(range(len(doc)), h, bounds)]
-
-
-def test_decontamination_sparse():
-    w = [f"q{i}x" for i in range(64)]
-    other = [f"o{i}" for i in range(64)]
-    item = " ".join(w)
-    assert found(item, [" ".join(other[:20] + w[7:17] + other[20:40])]) == [(20, 10, 10)]
-    assert found(item, [" ".join(other[:20] + w[7:16] + other[20:40])]) == []
-    for n in (16, 20, 30, 42, 60):
-        for phase in range(4):
-            text = [other[i] if i % 4 == phase else w[i] for i in range(n)]
-            assert [x[2] for x in found(" ".join(w[:n]), ["z " + " ".join(text) + " z"])] == [sum(i % 4 != phase for i in range(n))]
-    # shorter items: three quarters of their words, up
-    assert found(" ".join(w[:12]), [" ".join(["z", *w[:3], "z", *w[4:7], "z", *w[8:11], "z"])]) == [(1, 11, 9)]
-    assert found(" ".join(w[:8]), [" ".join([*w[:2], "z", *w[3:5], "z", *w[6:8]])]) == [(0, 8, 6)]
-
-
-def test_decontamination_longer_hit():
-    w = [f"q{i}x" for i in range(50)]
-    text = [x if i < 14 or i % 5 in (0, 2, 4) else "other" for i, x in enumerate(w)]
-    (first, n, same), *rest = found(" ".join(w), [" ".join(text), " ".join(text[:14])])
-    assert first == 0 and same >= 14 and same >= 0.75 * n and rest == [(0, 14, 14)]
-    rng = random.Random(6)
-    for _ in range(200):
-        hit = [rng.random() < 0.72 for _ in range(rng.randint(13, 50))]
-        runs = [(sum(hit[a:b]), b - a) for a in range(len(hit)) for b in range(a + 1, len(hit) + 1)]
-        want = max((m for m, n in runs if m >= 10 and m >= 0.75 * n), default=0)
-        got = found(" ".join(w[: len(hit)]), [" ".join(x if y else "other" for x, y in zip(w, hit))])
-        assert [x[2] for x in got] == ([want] if want else [])
+def overlaps_of(spark, pairs, least=10, share=0.75):
+    """Best overlaps of (doc words, item words) pairs, each with words of its
+    own, from one run of the operator."""
+    own = [([f"c{i}{x}" for x in d], [f"c{i}{x}" for x in t]) for i, (d, t) in enumerate(pairs)]
+    docs = spark.createDataFrame([(i, " ".join(d)) for i, (d, _) in enumerate(own)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(t)) for i, (_, t) in enumerate(own)], "item_id long, text string")
+    got = {}
+    for r in decontaminate.overlaps(docs.repartition(3), items, least, share).collect():
+        assert r["doc_id"] == r["item_id"]
+        got[r["doc_id"]] = (r["first"], r["n_words"], r["n_same"])
+    return [got.get(i) for i in range(len(pairs))]
+
+
+def brute(doc, item, least=10, share=0.75):
+    """The most same words of any run at any place that counts, or None."""
+    need, best = min(least, math.ceil(share * len(item) - 1e-9)), None
+    for shift in range(-len(item) + 1, len(doc)):
+        lo, hi = max(0, shift), min(len(doc), shift + len(item))
+        same = [doc[k] == item[k - shift] for k in range(lo, hi)]
+        for a in range(len(same)):
+            n = 0
+            for b in range(a, len(same)):
+                n += same[b]
+                if n >= max(1, need) and n >= share * (b - a + 1) - 1e-9:
+                    best = max(best or 0, n)
+    return best
+
+
+def test_decontamination_against_brute_force(spark):
+    rng, pairs = random.Random(11), []
+    for n in (*range(3, 17), 20, 24, 30, 40, 60):
+        for _ in range(12):
+            item = [f"q{i}x" for i in range(n)]
+            rate = rng.choice([0, 0.1, 0.2, 0.25, 0.3])
+            part = item[: rng.randint(max(1, n // 2), n)] if rng.random() < 0.5 else item
+            doc = [f"o{i}x" if rng.random() < rate else x for i, x in enumerate(part)]
+            pairs.append(([*(f"l{i}x" for i in range(rng.randint(0, 6))), *doc, *(f"r{i}x" for i in range(rng.randint(0, 6)))], item))
+    got, want = overlaps_of(spark, pairs), [brute(*p) for p in pairs]
+    assert [g and g[2] for g in got] == want and sum(x is not None for x in want) > 100
+    assert all(g is None or g[2] >= 0.75 * g[1] for g in got)
+
+
+def test_decontamination_sparse(spark):
+    w, other = [f"q{i}x" for i in range(64)], [f"o{i}x" for i in range(64)]
+    runs = [([*other[:20], *w[7 : 7 + n], *other[20:40]], w) for n in range(8, 13)]
+    assert overlaps_of(spark, runs) == [None, None, (20, 10, 10), (20, 11, 11), (20, 12, 12)]
+    sparse = [([other[i] if i % 4 == phase else w[i] for i in range(n)], w[:n]) for n in (16, 20, 30, 42, 60) for phase in range(4)]
+    assert [x[2] for x in overlaps_of(spark, sparse)] == [sum(i % 4 != phase for i in range(n)) for n in (16, 20, 30, 42, 60) for phase in range(4)]
+    # shorter items: three quarters of their words, up; a longer overlap hides nothing
+    long_ = [x if i < 14 or i % 5 in (0, 2, 4) else "other" for i, x in enumerate(w[:50])]
+    short = [(["z", *w[:3], "z", *w[4:7], "z", *w[8:11], "z"], w[:12]), ([*w[:2], "z", *w[3:5], "z", *w[6:8]], w[:8]), (long_, w[:50])]
+    a, b, c = overlaps_of(spark, short)
+    assert (a, b) == ((1, 11, 9), (0, 8, 6)) and c[0] == 0 and c[2] >= 14
 
 
 def test_licenses(docs, none, spark):
@@ -299,6 +318,21 @@ def test_oracles(docs, spark):
         assert sorted(got) == sorted(con.sql(sql).fetchall()) and got
 
 
+def targets(sizes, weights, share, most):
+    """The contract's targets, source by source."""
+    left, open_, out = share * sum(sizes), [i for i, n in enumerate(sizes) if n], [0.0] * len(sizes)
+    while open_:
+        total = sum(weights[i] for i in open_)
+        full = [i for i in open_ if left * weights[i] / total >= most * sizes[i]]
+        for i in full or open_:
+            out[i] = most * sizes[i] if full else left * weights[i] / total
+        if not full:
+            break
+        left -= sum(out[i] for i in full)
+        open_ = [i for i in open_ if i not in full]
+    return out
+
+
 def test_mixing(docs, none):
     got = mixing.mix(docs).collect()
     sizes = {r["doc_id"]: r["mix_size"] for r in got}
@@ -313,27 +347,32 @@ def test_mixing(docs, none):
         assert abs(sum(r["mix_taken"] for r in x) - x[0]["mix_target"]) <= max(r["mix_size"] for r in x)
     again = {r["doc_id"]: r["mix_shards"] for r in mixing.mix(docs.repartition(2)).collect()}
     assert again == {r["doc_id"]: r["mix_shards"] for r in got}
-    assert mixing.targets([10, 10, 100], [3, 1, 2], 1.5, 2) == [20, 20, 140]
+    assert targets([10, 10, 100], [3, 1, 2], 1.5, 2) == [20, 20, 140]
+    names = sorted(by, key=lambda s: (s is None, s or ""))
+    want = targets([total[s] for s in names], [[3, 1, 2][i % 3] for i in range(len(names))], 1.5, 2)
+    assert [by[s][0]["mix_target"] for s in names] == pytest.approx(want)
     assert mixing.mix(none).count() == 0
 
 
 def test_segments():
-    rng = random.Random(2)
-    for _ in range(200):
-        x = [rng.choice([-1.0, -1.0, 2.5, 0.7]) for _ in range(rng.randint(1, 14))]
-        at = [i for i, v in enumerate(x) if v > 0]
-        import numpy as np
-
-        got = toxicity.segments(np.array(at, int), np.array([x[i] for i in at]), 1.0)
+    import numpy as np
 
-        def maximal(lo, hi):
-            best = max(((sum(x[a:b]), -(b - a), a, b) for a in range(lo, hi) for b in range(a + 1, hi + 1)), default=(0, 0, 0, 0))
-            if best[0] <= 0:
-                return []
-            return maximal(lo, best[2]) + [(best[2], best[3], best[0])] + maximal(best[3], hi)
+    rng = random.Random(2)
 
-        want = maximal(0, len(x))
-        assert [round(s, 6) for *_, s in got] == [round(s, 6) for *_, s in want] or sum(s for *_, s in got) == pytest.approx(sum(s for *_, s in want))
+    def maximal(x, lo, hi):
+        best = max(((round(sum(x[a:b]), 9), -(b - a), -a) for a in range(lo, hi) for b in range(a + 1, hi + 1)), default=(0, 0, 0))
+        if best[0] <= 0:
+            return []
+        a, b = -best[2], -best[2] - best[1]
+        return [*maximal(x, lo, a), (a, b, best[0]), *maximal(x, b, hi)]
+
+    for _ in range(400):
+        x = [rng.randint(-192, 160) / 64 for _ in range(rng.randint(1, 16))]  # exact sums
+        got = [(a, b, round(s, 9)) for a, b, s in toxicity.segments(np.array(x))]
+        assert got == maximal(x, 0, len(x))
+    # linear: candidates that are never merged, and ones that always are
+    for x in (np.tile([2.0, -3.0], 200_000), np.concatenate((np.tile([1.0, -2.0], 100_000), np.tile([2.0, -1.0], 200_000)))):
+        assert sum(s for *_, s in toxicity.segments(x)) > 0
 
 
 def test_toxicity(spark, none):
