@@ -1,10 +1,11 @@
-"""Exact corpus-wide counts in two bounded hops.
+"""Exact corpus-wide counts in bounded hops.
 
 Documents are dealt by hash into blocks of a bounded size.  Every block
 sends the distinct keys it holds, with their counts, to the key's range (one
 row per block and range, so a key that is everywhere costs one entry per
 block); every range adds up what it gets and answers each block in the order
-of that block's own keys.  Nothing reaches the driver and nothing is
+of that block's own keys.  With many ranges both ways go over lanes (see
+``Route``).  Nothing reaches the driver and nothing is
 broadcast.  A task holds one block, of about ``block_bytes`` or one longer
 text, or one range.
 """
@@ -81,27 +82,13 @@ class Places:
         return out
 
 
-def sorted_ranges(keys: np.ndarray, counts: np.ndarray, n: int):
-    """Yield (range, keys, counts) of sorted distinct keys by range."""
-    r = split(keys, n)
-    order = np.argsort(r, kind="stable")
-    cuts = np.searchsorted(r[order], np.arange(n + 1))
-    for i in range(n):
-        if cuts[i + 1] > cuts[i]:
-            own = order[cuts[i] : cuts[i + 1]]
-            yield i, keys[own], counts[own]
-
-
-def emitter(keys_of: Callable, n: int, wire, count) -> Callable[[pa.Table], pa.Table]:
-    """A block's table to rows (r, block, keys, counts)."""
-
-    def emit(table: pa.Table) -> pa.Table:
-        keys, counts = keys_of(table)
-        block = table["_block"][0].as_py()
-        rows = [(r, k.astype(wire).tobytes(), c.astype(count).tobytes()) for r, k, c in sorted_ranges(keys, counts, n)]
-        return pa.table({"r": pa.array([x[0] for x in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()), "keys": pa.array([x[1] for x in rows], pa.binary()), "counts": pa.array([x[2] for x in rows], pa.binary())})
-
-    return emit
+def parted(keys: np.ndarray, counts: np.ndarray, where: np.ndarray):
+    """Yield (part, keys, counts) of sorted distinct keys by ``where``."""
+    order = np.argsort(where, kind="stable")
+    own = where[order]
+    cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)] if len(own) else [0]
+    for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+        yield int(own[x]), keys[order[x:y]], counts[order[x:y]]
 
 
 def gathered(table: pa.Table, wire, count):
@@ -111,6 +98,99 @@ def gathered(table: pa.Table, wire, count):
     return np.concatenate(ks), np.concatenate(cs), np.cumsum([0, *map(len, ks)])
 
 
+def _messages(rows) -> pa.Table:
+    rows = list(rows)
+    return pa.table({"r": pa.array([x[0] for x in rows], pa.int32()), "block": pa.array([x[1] for x in rows], pa.int32()), "keys": pa.array([x[2].tobytes() for x in rows], pa.binary()), "counts": pa.array([x[3].tobytes() for x in rows], pa.binary())})
+
+
+SENT = "r int, block int, keys binary, counts binary"
+ANSWER = "block int, r int, answer binary"
+#: Ranges that blocks send to themselves.
+DIRECT = 4096
+
+
+class Route:
+    """The way of blocks' keys to ``n`` ranges, and of the answers back.
+
+    Up to DIRECT ranges every block sends to each.  Beyond, a message would
+    hold a few keys only: blocks send to lanes of about sqrt(n) ranges; in a
+    lane, as many blocks together add up their counts and send to its ranges;
+    and what these answer is handed on to each block.  ``range_of`` gives the
+    range of a key, ``pack`` what the range is sent of it, ``cap`` the most
+    that a block's count says."""
+
+    def __init__(self, n: int, count, cap: int | None = None, range_of: Callable | None = None, wire=np.uint64):
+        self.n, self.count, self.cap, self.wire = n, count, cap, wire
+        self.range_of = range_of or (lambda keys: split(keys, n))
+        self.width = 1 if n <= DIRECT else math.ceil(math.sqrt(n))
+
+    def _counts(self, x: np.ndarray) -> np.ndarray:
+        return (np.minimum(x, self.cap) if self.cap else x).astype(self.count)
+
+    def send(self, docs: DataFrame, keys_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+        """(r, block, keys, counts) of each _block's sorted distinct keys; r
+        is a range, or a lane of them."""
+        lane_wire = self.wire if self.width == 1 else np.uint64
+
+        def emit(table: pa.Table) -> pa.Table:
+            keys, counts = keys_of(table)
+            block = table["_block"][0].as_py()
+            return _messages((r, block, k.astype(lane_wire), self._counts(c)) for r, k, c in parted(keys, counts, self.range_of(keys) // self.width))
+
+        return docs.groupBy("_block").applyInArrow(emit, SENT)
+
+    def _batch(self):
+        # lanes by batches of as many blocks; int: both are at most about sqrt(n)
+        return F.xxhash64("r", F.floor(F.col("block") / self.width))
+
+    def up(self, sent: DataFrame) -> DataFrame:
+        """What ranges get: (r, block, keys, counts), where block stands for
+        a batch of blocks if there are lanes."""
+        if self.width == 1:
+            return sent.select("r", F.col("block").cast("long").alias("block"), "keys", "counts")
+
+        def merge(table: pa.Table) -> pa.Table:
+            keys, counts, _ = gathered(table, np.uint64, self.count)
+            every, inverse = np.unique(keys, return_inverse=True)
+            total = np.bincount(inverse, counts, len(every)).astype(np.int64)
+            rows = [(r, k.astype(self.wire).tobytes(), self._counts(c).tobytes()) for r, k, c in parted(every, total, self.range_of(every))]
+            batch = table["batch"][0].as_py()
+            return pa.table({"r": pa.array([x[0] for x in rows], pa.int32()), "block": pa.array([batch] * len(rows), pa.int64()), "keys": pa.array([x[1] for x in rows], pa.binary()), "counts": pa.array([x[2] for x in rows], pa.binary())})
+
+        return sent.withColumn("batch", self._batch()).groupBy("batch").applyInArrow(merge, "r int, block long, keys binary, counts binary")
+
+    def down(self, sent: DataFrame, answers: DataFrame, kind) -> DataFrame:
+        """(block, r, answer) for every message of ``sent`` from the ranges'
+        answers, which hold a ``kind`` for each key."""
+        if self.width == 1:
+            return answers.select(F.col("block").cast("int").alias("block"), "r", "answer")
+
+        def back(table: pa.Table, told: pa.Table) -> pa.Table:
+            if not table.num_rows:
+                return pa.table({"block": pa.array([], pa.int32()), "r": pa.array([], pa.int32()), "answer": pa.array([], pa.binary())})
+            keys, _, cuts = gathered(table, np.uint64, self.count)
+            every = np.unique(keys)
+            value = self._answered(every, told, self.range_of(every), kind)[Places(every).of(keys)]
+            return pa.table({"block": table["block"].cast(pa.int32()), "r": table["r"].cast(pa.int32()), "answer": pa.array([value[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+
+        return sent.withColumn("batch", self._batch()).groupBy("batch").cogroup(answers.groupBy("block")).applyInArrow(back, ANSWER)
+
+    def _answered(self, keys: np.ndarray, answers: pa.Table, where: np.ndarray, kind) -> np.ndarray:
+        out = np.zeros(len(keys), kind)
+        by = dict(zip(answers["r"].to_pylist(), answers["answer"].to_pylist(), strict=True))
+        for r, own, _ in parted(np.arange(len(keys)), np.arange(len(keys)), where):
+            out[own] = np.frombuffer(by[r], kind)
+        return out
+
+    def answered(self, keys: np.ndarray, answers: pa.Table, kind) -> np.ndarray:
+        """What a block was answered for its sorted distinct keys."""
+        return self._answered(keys, answers, self.range_of(keys) // self.width, kind)
+
+
+#: What ranges answer to: the rows that Route.up gives them.
+TOLD = "block long, r int, answer binary"
+
+
 def totals(wire, count, told: Callable[[np.ndarray], np.ndarray]) -> Callable[[pa.Table], pa.Table]:
     """A range's rows to answers (block, r, answer): what ``told`` makes of
     the sums, in each block's key order."""
@@ -120,23 +200,6 @@ def totals(wire, count, told: Callable[[np.ndarray], np.ndarray]) -> Callable[[p
         _, inverse = np.unique(keys, return_inverse=True)
         total = told(np.bincount(inverse, weights=counts).astype(np.int64)).astype(count)[inverse]
         answers = [total[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        return pa.table({"block": table["block"].cast(pa.int32()), "r": table["r"].cast(pa.int32()), "answer": pa.array(answers, pa.binary())})
+        return pa.table({"block": table["block"], "r": table["r"].cast(pa.int32()), "answer": pa.array(answers, pa.binary())})
 
     return add
-
-
-SENT = "r int, block int, keys binary, counts binary"
-ANSWER = "block int, r int, answer binary"
-
-
-def answered(keys: np.ndarray, answers: pa.Table, n: int, count) -> np.ndarray:
-    """The totals of a block's sorted distinct keys, from its answers."""
-    out = np.zeros(len(keys), count)
-    by_range = dict(zip(answers["r"].to_pylist(), answers["answer"].to_pylist(), strict=True))
-    r = split(keys, n)
-    order = np.argsort(r, kind="stable")
-    cuts = np.searchsorted(r[order], np.arange(n + 1))
-    for i in range(n):
-        if cuts[i + 1] > cuts[i]:
-            out[order[cuts[i] : cuts[i + 1]]] = np.frombuffer(by_range[i], count)
-    return out

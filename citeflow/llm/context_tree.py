@@ -200,7 +200,7 @@ def _one(**columns) -> pa.Table:
     return pa.table({k: pa.array(v, t) for k, (v, t) in columns.items()})
 
 
-def score(docs: DataFrame, block_bytes: int = 16 << 20, range_bytes: int = 16 << 20) -> DataFrame:
+def score(docs: DataFrame, block_bytes: int = 8 << 20, range_bytes: int = 8 << 20) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score and bits_per_byte.
 
@@ -222,8 +222,9 @@ def score(docs: DataFrame, block_bytes: int = 16 << 20, range_bytes: int = 16 <<
     n = max(8, math.ceil(0.6 * size / range_bytes))
     trees = min(MOST_TREES, max(TREES, size // TREE_BYTES))
     by_block = dealt.groupBy("_block")
-    sent_words = by_block.applyInArrow(blocks.emitter(word_counts, n, np.uint64, np.uint32), blocks.SENT)
-    sent_grams = by_block.applyInArrow(blocks.emitter(gram_counts, n, np.uint64, np.uint32), blocks.SENT)
+    route = blocks.Route(n, np.uint32)
+    sent_words, sent_grams = route.send(dealt, word_counts), route.send(dealt, gram_counts)
+    grams_up = route.up(sent_grams)
 
     def count_words(table: pa.Table) -> pa.Table:
         keys, counts, cuts = blocks.gathered(table, np.uint64, np.uint32)
@@ -232,10 +233,10 @@ def score(docs: DataFrame, block_bytes: int = 16 << 20, range_bytes: int = 16 <<
         back = total[inverse]
         rows = [back[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         known = b"%d,%d" % ((total > 0).sum(), total.sum())
-        return _one(block=([*table["block"].to_pylist(), -1], pa.int32()), r=([*table["r"].to_pylist(), 0], pa.int32()), answer=([*rows, known], pa.binary()))
+        return _one(block=([*table["block"].to_pylist(), None], pa.int64()), r=([*table["r"].to_pylist(), 0], pa.int32()), answer=([*rows, known], pa.binary()))
 
-    word_answers = sent_words.groupBy("r").applyInArrow(count_words, blocks.ANSWER)
-    size_of = word_answers.where("block = -1").select(F.split(F.col("answer").cast("string"), ",").cast("array<long>").alias("x")).select(F.col("x")[0].alias("v"), F.col("x")[1].alias("n"))
+    told_words = route.up(sent_words).groupBy("r").applyInArrow(count_words, blocks.TOLD)
+    size_of = told_words.where("block is null").select(F.split(F.col("answer").cast("string"), ",").cast("array<long>").alias("x")).select(F.col("x")[0].alias("v"), F.col("x")[1].alias("n"))
     size_of = size_of.agg(F.coalesce(F.sum("v"), F.lit(0)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
     def merge(table: pa.Table) -> pa.Table:
@@ -246,7 +247,7 @@ def score(docs: DataFrame, block_bytes: int = 16 << 20, range_bytes: int = 16 <<
         rows = [(i, keys[t == i].tobytes(), counts[t == i].tobytes()) for i in np.unique(t).tolist()]
         return _one(tree=([x[0] for x in rows], pa.int32()), r=([table["r"][0].as_py()] * len(rows), pa.int32()), keys=([x[1] for x in rows], pa.binary()), counts=([x[2] for x in rows], pa.binary()))
 
-    merged = sent_grams.groupBy("r").applyInArrow(merge, "tree int, r int, keys binary, counts binary").groupBy("tree")
+    merged = grams_up.groupBy("r").applyInArrow(merge, "tree int, r int, keys binary, counts binary").groupBy("tree")
 
     def stems(table: pa.Table) -> pa.Table:
         keys, counts, _ = blocks.gathered(table, np.uint64, np.int64)
@@ -269,15 +270,16 @@ def score(docs: DataFrame, block_bytes: int = 16 << 20, range_bytes: int = 16 <<
 
     def reply(table: pa.Table, logs: pa.Table) -> pa.Table:
         if table.num_rows == 0:
-            return _one(block=([], pa.int32()), r=([], pa.int32()), answer=([], pa.binary()))
+            return _one(block=([], pa.int64()), r=([], pa.int32()), answer=([], pa.binary()))
         keys = np.concatenate([np.frombuffer(x, np.uint64) for x in logs["keys"].to_pylist()])
         value = np.concatenate([np.frombuffer(x, np.float32) for x in logs["logs"].to_pylist()])
         by = np.argsort(keys)
         keys, value = keys[by], value[by]
         rows = [value[np.searchsorted(keys, np.frombuffer(x, np.uint64))].tobytes() for x in table["keys"].to_pylist()]
-        return _one(block=(table["block"].to_pylist(), pa.int32()), r=([-1 - x for x in table["r"].to_pylist()], pa.int32()), answer=(rows, pa.binary()))
+        return _one(block=(table["block"].to_pylist(), pa.int64()), r=(table["r"].to_pylist(), pa.int32()), answer=(rows, pa.binary()))
 
-    gram_answers = sent_grams.groupBy("r").cogroup(logs.groupBy("r")).applyInArrow(reply, blocks.ANSWER)
+    told_grams = grams_up.groupBy("r").cogroup(logs.groupBy("r")).applyInArrow(reply, blocks.TOLD)
+    gram_answers = route.down(sent_grams, told_grams, np.float32).select("block", (-1 - F.col("r")).alias("r"), "answer")
 
     def final(table: pa.Table, answers: pa.Table) -> pa.Table:
         names = ("doc_id", "held_out", "n_tokens", "n_known", "n_bytes", "known_log", "score", "_times")
@@ -288,7 +290,7 @@ def score(docs: DataFrame, block_bytes: int = 16 << 20, range_bytes: int = 16 <<
         answer = answers.filter(pa.array(~of_grams))
         h, bounds = words(table["text"], lower=True)
         keys = np.unique(np.concatenate((h, [END_TOKEN])))
-        total = blocks.answered(keys, answer, n, np.int64)
+        total = route.answered(keys, answer, np.int64)
         at = blocks.Places(keys).of(h)
         end = int(total[np.searchsorted(keys, END_TOKEN)])
         doc = np.repeat(np.arange(table.num_rows), np.diff(bounds))
@@ -298,7 +300,7 @@ def score(docs: DataFrame, block_bytes: int = 16 << 20, range_bytes: int = 16 <<
         answer = answers.filter(pa.array(of_grams))
         answer = answer.set_column(answer.schema.get_field_index("r"), "r", pa.array([-1 - x for x in answer["r"].to_pylist()], pa.int32()))
         keys = gram_keys(table)
-        value = blocks.answered(keys, answer, n, np.float32)
+        value = route.answered(keys, answer, np.float32)
         result, places = np.zeros(table.num_rows), blocks.Places(keys)
         for a, k, cuts in grams(table["text"]):
             # every text has at least its end, so no run is empty
@@ -307,7 +309,7 @@ def score(docs: DataFrame, block_bytes: int = 16 << 20, range_bytes: int = 16 <<
         values = (table["doc_id"], table["held_out"], np.diff(bounds) + 1, known.astype(np.int64), sizes, logged, result, table["_times"])
         return pa.table({k: (v.cast(t) if isinstance(v, pa.ChunkedArray) else pa.array(v, t)) for k, t, v in zip(names, kinds, values, strict=True)})
 
-    every = word_answers.where("block >= 0").union(gram_answers)
+    every = route.down(sent_words, told_words.where("block is not null"), np.int64).union(gram_answers)
     out = by_block.cogroup(every.groupBy("block")).applyInArrow(final, OUT)
     out = repeated(out, "_times") if again else out.drop("_times")
     v, tokens = size_of.select("v").scalar(), size_of.select("n").scalar()

@@ -137,25 +137,15 @@ def document_sets(docs: DataFrame, k: int, percent: int, block_bytes: int, range
     ones that no other document has lead nowhere and are left out."""
     dealt, size, again = blocks.deal(docs, block_bytes, ["doc_id", "text"])
     n = max(8, math.ceil(0.8 * size / range_bytes))
+    # keys are the range and 32 bits of hash: enough to order by
+    route = blocks.Route(n, np.uint8, 255, lambda keys: (keys >> np.uint64(32)).astype(np.int64), np.uint32)
+
+    def cut_of(keys):
+        return (keys & np.uint64(0xFFFFFFFF)) | (blocks.split(keys, n).astype(np.uint64) << np.uint64(32))
 
     def keys_of(table):
         sets = shingle_sets(table["text"], k)
-        keys, counts = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
-        return short(keys, np.minimum(counts, 255))
-
-    def short(keys, counts):
-        """Keys cut to 32 bits beside the range: enough to order by."""
-        cut = (keys & np.uint64(0xFFFFFFFF)) | (blocks.split(keys, n).astype(np.uint64) << np.uint64(32))
-        out, inverse = np.unique(cut, return_inverse=True)
-        return out, np.minimum(np.bincount(inverse, counts), 255).astype(np.int64)
-
-    def emit(table):
-        keys, counts = keys_of(table)
-        block = table["_block"][0].as_py()
-        r = (keys >> np.uint64(32)).astype(np.int64)
-        cuts = np.searchsorted(r, np.arange(n + 1))
-        rows = [(i, (keys[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), counts[a:b].astype(np.uint8).tobytes()) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-        return pa.table({"r": pa.array([x[0] for x in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()), "keys": pa.array([x[1] for x in rows], pa.binary()), "counts": pa.array([x[2] for x in rows], pa.binary())})
+        return np.unique(cut_of(np.concatenate([*sets, np.zeros(0, np.uint64)])), return_counts=True)
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64())), ("_times", pa.int64())])
 
@@ -164,10 +154,9 @@ def document_sets(docs: DataFrame, k: int, percent: int, block_bytes: int, range
             return schema.empty_table()
         sets = shingle_sets(table["text"], k)
         flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
-        cut = (flat & np.uint64(0xFFFFFFFF)) | (blocks.split(flat, n).astype(np.uint64) << np.uint64(32))
+        cut = cut_of(flat)
         keys = np.unique(cut)
-        answer = dict(zip(answers["r"].to_pylist(), answers["answer"].to_pylist(), strict=True))
-        total = np.frombuffer(b"".join(answer[i] for i in sorted(answer)), np.uint8)
+        total = route.answered(keys, answers, np.uint8)
         df = total[blocks.Places(keys).of(cut)] if len(keys) else np.zeros(0, np.uint8)
         at, rows = 0, ([], [], [], [], [], [], table["_times"].to_pylist())
         for x, doc in zip(sets, table["doc_id"].to_pylist(), strict=True):
@@ -187,12 +176,13 @@ def document_sets(docs: DataFrame, k: int, percent: int, block_bytes: int, range
             rows[5].append(x.view(np.int64) if len(prefix) else None)
         return pa.table([pa.array(x, f.type) for x, f in zip(rows, schema, strict=True)], schema=schema)
 
-    sent = dealt.groupBy("_block").applyInArrow(emit, blocks.SENT)
-    answers = sent.groupBy("r").applyInArrow(blocks.totals(np.uint32, np.uint8, magnitude), blocks.ANSWER)
+    sent = route.send(dealt, keys_of)
+    told = route.up(sent).groupBy("r").applyInArrow(blocks.totals(np.uint32, np.uint8, magnitude), blocks.TOLD)
+    answers = route.down(sent, told, np.uint8)
     return dealt.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(both, SETS), again
 
 
-def join(docs: DataFrame, k: int = 5, percent: int = 75, block_bytes: int = 8 << 20, range_bytes: int = 16 << 20) -> DataFrame:
+def join(docs: DataFrame, k: int = 5, percent: int = 75, block_bytes: int = 4 << 20, range_bytes: int = 8 << 20) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
     Two documents link when their sets of k-word shingles have a Jaccard

@@ -17,7 +17,7 @@ OUT = "doc_id long, n_words long, n_removed long, kept string, removed array<str
 KINDS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("removed", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), ("_times", pa.int64())])
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, block_bytes: int = 8 << 20, range_bytes: int = 16 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 35, block_bytes: int = 4 << 20, range_bytes: int = 8 << 20) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept (the
     words that stay, joined by one space) and removed (maximal intervals of
     word positions, end exclusive).
@@ -33,7 +33,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, block_bytes: int = 8 << 20
     Repeated rows repeat each other's windows.  Other columns are ignored.
     An empty table gives an empty result."""
     dealt, size, again = blocks.deal(docs, block_bytes, ["doc_id", "text"])
-    n = max(8, math.ceil(1.5 * size / range_bytes))
+    route = blocks.Route(max(8, math.ceil(1.5 * size / range_bytes)), np.uint8, 2)
 
     def own(table):
         h, bounds = words(table["text"])
@@ -49,7 +49,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, block_bytes: int = 8 << 20
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
         h, bounds, at, w = own(table)
         keys = np.unique(w)
-        hit = blocks.answered(keys, answers, n, np.uint8) >= 2
+        hit = route.answered(keys, answers, np.uint8) >= 2
         again = at[hit[blocks.Places(keys).of(w)]] if len(keys) else at
         cover = np.zeros(len(h) + 1, np.int32)
         np.add.at(cover, again, 1)
@@ -71,8 +71,9 @@ def remove_repeats(docs: DataFrame, window: int = 35, block_bytes: int = 8 << 20
             kept.append(b" ".join(parts).decode("utf-8", "replace"))
         return pa.table([table["doc_id"].cast(pa.int64()), np.diff(bounds), lost, kept, removed, table["_times"]], schema=KINDS)
 
-    sent = dealt.groupBy("_block").applyInArrow(blocks.emitter(keys_of, n, np.uint64, np.uint8), blocks.SENT)
-    answers = sent.groupBy("r").applyInArrow(blocks.totals(np.uint64, np.uint8, lambda x: np.minimum(x, 2)), blocks.ANSWER)
+    sent = route.send(dealt, keys_of)
+    told = route.up(sent).groupBy("r").applyInArrow(blocks.totals(np.uint64, np.uint8, lambda x: np.minimum(x, 2)), blocks.TOLD)
+    answers = route.down(sent, told, np.uint8)
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         return cut(left, right) if left.num_rows else KINDS.empty_table()

@@ -329,3 +329,13 @@ def test_pipeline_run(spark, docs, tables):
     assert sorted(map(repr, map(tuple, out))) == sorted(map(repr, map(tuple, again))) and out
     assert not {-5} & {r["doc_id"] for r in out} and all(0 <= r["mix_shard"] < mixing.SHARDS for r in out)
     assert max(collections.Counter((r["doc_id"], r["text"]) for r in out).values()) <= 2
+
+
+def test_lanes(docs, monkeypatch):
+    """Blocks that reach their ranges over lanes get the same answers."""
+    from citeflow.llm import blocks
+
+    run = lambda: [sorted(map(repr, map(tuple, f(docs, block_bytes=60_000, range_bytes=20_000).collect()))) for f in (substring_dedup.remove_repeats, ngram_join.join, context_tree.score)]
+    direct = run()
+    monkeypatch.setattr(blocks, "DIRECT", 2)
+    assert run() == direct
