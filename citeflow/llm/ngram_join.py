@@ -16,9 +16,9 @@ from .shared import components, forget, repeated, written
 from .text import mix, shingle_sets
 
 SETS = "doc_id long, n_shingles long, c1 long, c2 long, prefix array<long>, shingles array<long>, _times long"
-#: Sets that are searched at once: of a star, and of a part of an area or list;
-#: sets of areas that are searched whole; rows of small lots for one task.
-STAR, GROUP, AREA, TOGETHER = 64, 128, 1024, 2048
+#: Sets of a star and of a part of a unit that are searched at once, sets that
+#: ask them at once, and rows of small units for one task.
+STAR, GROUP, ASKS, TOGETHER = 64, 128, 1024, 2048
 
 
 def divide_skip(lists: list[list[int]], need: int) -> list[int]:
@@ -182,6 +182,27 @@ def document_sets(docs: DataFrame, k: int, percent: int, block_bytes: int, range
     return dealt.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(both, SETS), again
 
 
+def _units(members: DataFrame) -> DataFrame:
+    """(area, unit, n, asks, major, cost) of (area, unit, rep, label): the
+    sets of a unit, those outside its largest label, and how often sets are
+    sent if these ask all others."""
+    by = members.groupBy("area", "unit", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("area", "unit").agg(F.sum("k").alias("n"), F.max(F.struct("k", "label")).alias("top"))
+    by = by.select("area", "unit", "n", (F.col("n") - F.col("top.k")).alias("asks"), F.col("top.label").alias("major"))
+    return by.withColumn("cost", F.col("n") * F.ceil(F.col("asks") / ASKS) + F.col("asks") * F.ceil(F.col("n") / GROUP))
+
+
+def _lots(members: DataFrame, tasks: int) -> DataFrame:
+    """(lot, task, doc_id, label, asks, held): every set is held in one part
+    of its unit, and those outside the largest label ask in every part."""
+    part, chunk = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / GROUP)), F.pmod(F.xxhash64(F.lit(1), "rep"), F.ceil(F.col("asks") / ASKS))
+    count = lambda x, size: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(x / size) - 1))
+    held = members.select("unit", "n", "asks", "rep", "label", part.alias("p"), count(F.col("asks"), ASKS).alias("c"), F.lit(False).alias("ask"))
+    ask = members.where("label <> major").select("unit", "n", "asks", "rep", "label", count(F.col("n"), GROUP).alias("p"), chunk.alias("c"), F.lit(True).alias("ask"))
+    lot = F.xxhash64("unit", "p", "c")
+    task = F.when((F.col("n") <= GROUP) & (F.col("asks") <= ASKS), F.pmod(F.xxhash64("unit"), F.lit(tasks))).otherwise(lot)
+    return held.union(ask).select(lot.alias("lot"), task.alias("task"), F.col("rep").alias("doc_id"), "label", F.col("ask").alias("asks"), (~F.col("ask")).alias("held"))
+
+
 def join(docs: DataFrame, k: int = 5, percent: int = 75, block_bytes: int = 4 << 20, range_bytes: int = 8 << 20) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
@@ -194,10 +215,10 @@ def join(docs: DataFrame, k: int = 5, percent: int = 75, block_bytes: int = 4 <<
       first held against the smallest candidate of its shingles, which joins
       a group of near copies by a star and not by all pairs;
     * sets that share a prefix shingle and still lie in different components
-      are searched against each other by T-occurrence (``divide_skip``): an
-      area of up to AREA sets that shingles connect as a whole, and larger
-      ones list by list of the sets that have a shingle, equal lists once;
-      both in pairs of parts of GROUP sets where there are more.
+      are searched against each other by T-occurrence (``divide_skip``): the
+      area that shingles connect as a whole, or list by list of the sets that
+      have a shingle (equal lists once), whichever sends fewer sets.  There
+      only sets outside the largest component ask, in lots of bounded size.
 
     Texts that are null or have no word have an empty set and are linked with
     nothing.  Rows that share a doc_id are one document with several texts,
@@ -237,19 +258,17 @@ def join(docs: DataFrame, k: int = 5, percent: int = 75, block_bytes: int = 4 <<
     lists = written(lists.where("low <> high").groupBy("n", "x0", "x1").agg(F.min("key").alias("key"), F.first("low").alias("low")))
     rest = written(placed.join(lists.select("key", "n", "low"), "key"))
     forget(placed, lists)
-    # labels that lists connect are an area, small ones are searched whole
+    # labels that lists connect are an area; it is searched whole or by lists
     areas = components(rest.select(F.col("label").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("label"), F.col("component").alias("area"))
     own = written(rest.select("rep", "label").distinct().join(areas, "label", "left").select("rep", "label", F.coalesce("area", "label").alias("area")))
-    small = written(own.groupBy("area").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= AREA))
-    large = own.join(small, "area", "left_anti").select("rep")
-    lots = own.join(small, "area").select(F.col("area").alias("key"), "rep", "label", "n").union(rest.join(large, "rep", "left_semi").select("key", "rep", "label", "n"))
-    tasks = max(1, own.count() // TOGETHER)
-    parts = F.ceil(F.col("n") / GROUP).cast("int")
-    rest = lots.select("key", F.col("rep").alias("doc_id"), "label", parts.alias("parts"), F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    lot = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))
-    rest = rest.select(lot.alias("lot"), F.when(F.col("parts") == 1, F.pmod(F.xxhash64("key"), F.lit(tasks))).otherwise(lot).alias("task"), "doc_id", "label", (F.col("part") <= F.col("other")).alias("asks"), (F.col("part") >= F.col("other")).alias("held"))
-    far = rest.join(bodies, "doc_id").groupBy("task").applyInArrow(link, "a long, b long")
+    whole_ = own.select("area", F.col("area").alias("unit"), "rep", "label")
+    parts_ = rest.select("rep", "label", F.col("key").alias("unit")).join(own.select("rep", "area"), "rep").select("area", "unit", "rep", "label")
+    cost = {k: written(_units(x)) for k, x in (("whole", whole_), ("parts", parts_))}
+    better = cost["whole"].select("area", "cost").join(cost["parts"].groupBy("area").agg(F.sum("cost").alias("other")), "area")
+    better = written(better.select("area", (F.col("cost") <= F.col("other")).alias("whole")))
+    lots = [x.join(better.where("whole" if k == "whole" else "not whole").select("area"), "area").join(cost[k], ["area", "unit"]) for k, x in (("whole", whole_), ("parts", parts_))]
+    lots = _lots(lots[0].unionByName(lots[1]), max(1, own.count() // TOGETHER))
+    far = lots.join(bodies, "doc_id").groupBy("task").applyInArrow(link, "a long, b long")
 
     # several texts of one doc_id
     several = known.groupBy("doc_id").agg(F.min("c1").alias("c1"), F.max("c1").alias("high")).where("c1 <> high").select("doc_id")

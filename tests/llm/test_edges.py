@@ -131,8 +131,8 @@ def test_many_copies(spark, monkeypatch):
     rows += [(5000 + i, " ".join(chain[8 * i : 8 * i + 90])) for i in range(150)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     want = {k: 1000 if k < 5000 else 5000 for k, _ in rows}
-    for area, group in ((1024, 128), (16, 32)):
-        monkeypatch.setattr(ngram_join, "AREA", area)
+    for asks, group in ((1024, 128), (16, 8)):
+        monkeypatch.setattr(ngram_join, "ASKS", asks)
         monkeypatch.setattr(ngram_join, "GROUP", group)
         assert {r["doc_id"]: r["component_id"] for r in ngram_join.join(df, block_bytes=20_000).collect()} == want
 
