@@ -92,6 +92,7 @@ for _how, _name in (("greedy", "comm_greedy"), ("label_propagation", "comm_lpa")
     _on_works(_name, lambda w, h=_how: graph.communities(_cc(w), h))
 _GREEDY = "WITH RECURSIVE " + WORKS + _GCC + graph_sql.GREEDY
 ORACLES["comm_greedy"] = _GREEDY + graph_sql.CLUSTERS
+ORACLES["comm_louvain"] = "WITH RECURSIVE " + WORKS + _GCC + graph_sql.LOUVAIN + graph_sql.CLUSTERS
 ORACLES["comm_lpa"] = "WITH RECURSIVE " + WORKS + _GCC + graph_sql.LPA + graph_sql.CLUSTERS
 
 

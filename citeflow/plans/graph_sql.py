@@ -54,3 +54,22 @@ LPA = _NODES + """, st AS (SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS s
 ended AS (SELECT i, c FROM st WHERE k = (SELECT max(k) FROM st))""" + _NUMBERED
 
 CLUSTERS = "\nSELECT node, CAST(cluster AS INTEGER) AS cluster FROM clusters"
+
+#: One node of a level moves a round, v points at it; after a sweep without a
+#: move the communities become the next level's nodes.
+LOUVAIN = _NODES + """, dg AS MATERIALIZED (SELECT a AS i, sum(w) AS d FROM e GROUP BY a), m AS (SELECT sum(w) AS m FROM e),
+st AS (SELECT 0 AS k, 0 AS v, false AS sweep, false AS level, i, i AS node_, i AS c FROM nd UNION ALL
+  SELECT st.k + 1, CASE WHEN st.v < s.n THEN st.v + 1 ELSE 0 END,
+    st.v < s.n AND (st.sweep OR mv.c IS NOT NULL), CASE WHEN st.v < s.n THEN st.level OR mv.c IS NOT NULL ELSE st.sweep AND st.level END, st.i,
+    CASE WHEN st.v = s.n AND NOT st.sweep THEN dense_rank() OVER (ORDER BY st.c) - 1 ELSE st.node_ END,
+    CASE WHEN st.v = s.n AND NOT st.sweep THEN dense_rank() OVER (ORDER BY st.c) - 1 WHEN st.node_ = st.v AND mv.c IS NOT NULL THEN mv.c ELSE st.c END
+  FROM st CROSS JOIN (SELECT max(node_) + 1 AS n FROM st) s LEFT JOIN (
+    SELECT c FROM (SELECT c, gain, row_number() OVER (ORDER BY gain DESC, c) AS r, max(CASE WHEN c = own THEN gain END) OVER () AS mine FROM (
+      SELECT l.c, l.own, l.links - coalesce(t.total, 0) * o.d / m.m AS gain FROM (
+        SELECT c, any_value(own) AS own, sum(w) AS links FROM (
+          SELECT y.c, x.c AS own, e.w FROM st x JOIN e ON e.a = x.i JOIN st y ON y.i = e.b WHERE x.node_ = x.v AND y.node_ <> x.v
+          UNION ALL SELECT x.c, x.c, 0 FROM st x WHERE x.node_ = x.v) GROUP BY c) l
+      LEFT JOIN (SELECT z.c, sum(dg.d) AS total FROM st z JOIN dg ON dg.i = z.i WHERE z.node_ <> z.v GROUP BY z.c) t ON t.c = l.c
+      CROSS JOIN (SELECT sum(dg.d) AS d FROM st z JOIN dg ON dg.i = z.i WHERE z.node_ = z.v) o CROSS JOIN m)) WHERE r = 1 AND gain > mine + 1e-12) mv ON true
+  WHERE st.v < s.n OR st.sweep OR st.level),
+ended AS (SELECT i, c FROM st WHERE k = (SELECT max(k) FROM st))""" + _NUMBERED
