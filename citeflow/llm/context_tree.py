@@ -15,9 +15,9 @@ from .text import _LOWER, chunks, mix, text_bytes, words
 
 U = np.uint64
 DEPTH = 5
-#: Trees at least and at most (one for each pair of nearest bytes), and the
-#: bytes of text for each.
-TREES, MOST_TREES, TREE_BYTES = 64, 1 << 16, 64 << 20
+#: Nearest bytes that a part of the tree lies below (each holds at most
+#: 2**24 sequences), parts at least and at most, and bytes of text for each.
+ROOT, TREES, MOST_TREES, TREE_BYTES = 3, 64, 1 << 20, 64 << 20
 END_TOKEN = U(0x2545F4914F6CDD1D)
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, known_log double, score double, _times long"
 _HALF = math.log(0.5)
@@ -98,21 +98,31 @@ def word_counts(table: pa.Table):
 
 
 def tree_of(keys: np.ndarray, trees: int) -> np.ndarray:
-    return (mix((keys >> U(8)) & U(0xFFFF)) % U(trees)).astype(np.int64)
+    return (mix((keys >> U(8)) & U((1 << 8 * ROOT) - 1)) % U(trees)).astype(np.int64)
+
+
+def joined(n0: np.ndarray, n1: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log of the weighted probability, share of the own estimate in it) of
+    nodes with these counts and sums of what is below."""
+    kt = log_kt(n0, n1)
+    weighted = _HALF + np.logaddexp(kt, below)
+    return weighted, np.exp(_HALF + kt - weighted)
 
 
 class Tree:
-    """The part of the context tree below a set of two-byte contexts.
+    """The part of the context tree below a set of contexts of ROOT bytes.
 
     Every node is a context of d bytes and a prefix of the next byte's bits;
     it holds how often the next bit was 0 or 1, the weighted probability of
-    its part of the training bits, and the share of its own estimate in it."""
+    its part of the training bits, and the share of its own estimate in it.
+    ``want`` are the nodes above that its keys' bits hang on."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
         self.nodes, self.n0, self.n1, self.share = {}, {}, {}, {}
+        self.want = np.unique(parent(bits(keys)[0].ravel(), ROOT))
         keys, counts = keys[counts > 0], counts[counts > 0]
         below = None
-        for d in range(DEPTH, 1, -1):
+        for d in range(DEPTH, ROOT - 1, -1):
             if d < DEPTH:
                 keys, inverse = np.unique(keys & U((1 << 8 * (d + 1)) - 1), return_inverse=True)
                 counts = np.bincount(inverse, counts, len(keys)).astype(np.int64)
@@ -121,44 +131,38 @@ class Tree:
             weight = np.tile(counts, 8)
             ones = np.bincount(inverse, weight * bit.ravel(), len(nodes)).astype(np.int64)
             zeros = np.bincount(inverse, weight, len(nodes)).astype(np.int64) - ones
-            kt = log_kt(zeros, ones)
             if below is None:
-                weighted = kt
-                share = np.ones(len(kt))
+                weighted, share = log_kt(zeros, ones), np.ones(len(nodes))
             else:
-                rest = np.bincount(np.searchsorted(nodes, parent(below[0], d + 1)), below[1], len(nodes))
-                weighted = _HALF + np.logaddexp(kt, rest)
-                share = np.exp(_HALF + kt - weighted)
+                weighted, share = joined(zeros, ones, np.bincount(np.searchsorted(nodes, parent(below[0], d + 1)), below[1], len(nodes)))
             self.nodes[d], self.n0[d], self.n1[d], self.share[d] = nodes, zeros, ones, share
             below = nodes, weighted
-        self.roots = below
+        self.weighted = below[1]
 
-    def top(self) -> bytes:
-        """Sums for the one-byte contexts above, packed."""
-        at, inverse = np.unique(parent(self.roots[0], 2), return_inverse=True)
-        sums = [np.bincount(inverse, x, len(at)) for x in (self.n0[2], self.n1[2], self.roots[1])]
-        return np.column_stack((at.astype(float), *sums)).tobytes()
+    def sums(self) -> np.ndarray:
+        """A row for each wanted node: it, and what this part adds to it."""
+        at = np.searchsorted(self.want, parent(self.nodes[ROOT], ROOT))
+        return np.column_stack([self.want.astype(float), *(np.bincount(at, x, len(self.want)) for x in (self.n0[ROOT], self.n1[ROOT], self.weighted))])
 
     def predict(self, keys: np.ndarray, above: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each key."""
-        a, w = {1: above[0]}, {1: above[1]}
-        for d in range(2, DEPTH + 1):
-            up = parent(self.nodes[d], d)
-            at = up.astype(np.int64) if d == 2 else np.searchsorted(self.nodes[d - 1], up)
+        """log10 probability of the last byte of each key; ``above`` has, for
+        each wanted node, the mixture so far and the weight left below."""
+        nodes = {**self.nodes, ROOT - 1: self.want}
+        a, w = {ROOT - 1: above[0]}, {ROOT - 1: above[1]}
+        for d in range(ROOT, DEPTH + 1):
+            at = np.searchsorted(nodes[d - 1], parent(nodes[d], d))
             p = (self.n1[d] + 0.5) / (self.n0[d] + self.n1[d] + 1)
             a[d] = a[d - 1][at] + w[d - 1][at] * self.share[d] * p
             w[d] = w[d - 1][at] * (1 - self.share[d])
         node, bit = bits(keys)
         node, one = node.ravel(), np.empty(node.size)
         left = np.arange(len(node))
-        for d in range(DEPTH, 1, -1):
+        for d in range(DEPTH, ROOT - 2, -1):
             want = node[left] & U((1 << 8 * (d + 1)) - 1)
-            at = np.minimum(np.searchsorted(self.nodes[d], want), max(0, len(self.nodes[d]) - 1))
-            hit = self.nodes[d][at] == want if len(self.nodes[d]) else np.zeros(len(want), bool)
+            at = np.minimum(np.searchsorted(nodes[d], want), max(0, len(nodes[d]) - 1))
+            hit = nodes[d][at] == want if len(nodes[d]) else np.zeros(len(want), bool)
             one[left[hit]] = a[d][at[hit]] + w[d][at[hit]] / 2
             left = left[~hit]
-        at = (node[left] & U(0xFFFF)).astype(np.int64)
-        one[left] = a[1][at] + w[1][at] / 2
         return np.log10(np.where(bit.ravel(), one, 1 - one)).reshape(8, -1).sum(0)
 
 
@@ -176,18 +180,21 @@ def parent(nodes: np.ndarray, d: int) -> np.ndarray:
     return nodes & U((1 << 8 * d) - 1)
 
 
+def merged_sums(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, sums) of what several parts add to their wanted nodes."""
+    part = np.concatenate([np.frombuffer(x).reshape(-1, 4) for x in rows])
+    nodes, inverse = np.unique(part[:, 0].astype(np.uint64), return_inverse=True)
+    return nodes, np.stack([np.bincount(inverse, part[:, j], len(nodes)) for j in (1, 2, 3)])
+
+
 def crown(rows: list[bytes]) -> np.ndarray:
-    """Depths 0 and 1 of the tree from the sums of all parts: for every node
-    of depth 1 the mixture so far, and the weight left for what is deeper."""
+    """Depths 0 and 1 of the tree from the sums of all of depth 2: for every
+    node of depth 1 the mixture so far, and the weight left below."""
+    nodes, own = merged_sums(rows)
     sums = np.zeros((3, 1 << 16))
-    for x in rows:
-        part = np.frombuffer(x).reshape(-1, 4)
-        for j in range(3):
-            np.add.at(sums[j], part[:, 0].astype(np.int64), part[:, j + 1])
+    sums[:, nodes.astype(np.int64)] = own
     n0, n1 = sums[:2].astype(np.int64)
-    kt = log_kt(n0, n1)
-    weighted = _HALF + np.logaddexp(kt, sums[2])
-    share = np.exp(_HALF + kt - weighted)
+    weighted, share = joined(n0, n1, sums[2])
     by_bits = lambda x: x.reshape(256, 256).sum(0)
     z0, z1 = by_bits(n0), by_bits(n1)
     kt0 = log_kt(z0, z1)
@@ -209,7 +216,8 @@ def score(docs: DataFrame, block_bytes: int = 8 << 20, range_bytes: int = 8 << 2
     each has its own context tree of depth 5, in which every node's
     Krichevsky-Trofimov estimate is mixed with those of all deeper nodes by
     their weighted probabilities.  The counts come from all texts whose
-    crc32(doc_id) mod 10 is not 0.  The tree is dealt out by its contexts;
+    crc32(doc_id) mod 10 is not 0.  The tree is dealt out by its contexts, in
+    parts below three bytes, that meet below one byte and then at the crown;
     each block of documents asks it for the byte sequences that it holds, so
     no model is ever broadcast.
 
@@ -251,19 +259,46 @@ def score(docs: DataFrame, block_bytes: int = 8 << 20, range_bytes: int = 8 << 2
 
     def stems(table: pa.Table) -> pa.Table:
         keys, counts, _ = blocks.gathered(table, np.uint64, np.int64)
-        return _one(one=([0], pa.int32()), sums=([Tree(keys, counts).top()], pa.binary()))
+        sums = Tree(keys, counts).sums()
+        byte = sums[:, 0].astype(np.int64) >> 8 & 255
+        rows = [(int(x), sums[byte == x].tobytes()) for x in np.unique(byte)]
+        return _one(tree=([table["tree"][0].as_py()] * len(rows), pa.int32()), byte=([x[0] for x in rows], pa.int32()), sums=([x[1] for x in rows], pa.binary()))
+
+    def middle(table: pa.Table) -> pa.Table:
+        nodes, (n0, n1, below) = merged_sums(table["sums"].to_pylist())
+        weighted, _ = joined(n0.astype(np.int64), n1.astype(np.int64), below)
+        at, inverse = np.unique(parent(nodes, ROOT - 1), return_inverse=True)
+        sums = np.column_stack([at.astype(float), *(np.bincount(inverse, x, len(at)) for x in (n0, n1, weighted))])
+        return _one(one=([0], pa.int32()), sums=([sums.tobytes()], pa.binary()))
 
     def crowned(table: pa.Table) -> pa.Table:
-        return _one(crown=([crown(table["sums"].to_pylist()).tobytes()], pa.binary()))
-
-    top = merged.applyInArrow(stems, "one int, sums binary").groupBy("one").applyInArrow(crowned, "crown binary")
-    tops = docs.sparkSession.range(trees).select(F.col("id").cast("int").alias("tree"), top.scalar().alias("crown")).groupBy("tree")
+        top = crown(table["sums"].to_pylist()).reshape(2, 256, 256)
+        return _one(byte=(list(range(256)), pa.int32()), crown=([top[:, x].tobytes() for x in range(256)], pa.binary()))
+
+    def handed(table: pa.Table, top: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _one(tree=([], pa.int32()), byte=([], pa.int32()), above=([], pa.binary()))
+        nodes, (n0, n1, below) = merged_sums(table["sums"].to_pylist())
+        _, share = joined(n0.astype(np.int64), n1.astype(np.int64), below)
+        a, w = np.frombuffer(top["crown"][0].as_py()).reshape(2, 256)[:, (nodes & U(255)).astype(np.int64)]
+        above = np.stack((a + w * share * (n1 + 0.5) / (n0 + n1 + 1), w * (1 - share)))
+        own = [above[:, np.searchsorted(nodes, np.frombuffer(x).reshape(-1, 4)[:, 0].astype(np.uint64))].tobytes() for x in table["sums"].to_pylist()]
+        return _one(tree=(table["tree"].to_pylist(), pa.int32()), byte=(table["byte"].to_pylist(), pa.int32()), above=(own, pa.binary()))
+
+    # up: parts below ROOT bytes, then below the nearest byte, then the crown; and down again
+    told = merged.applyInArrow(stems, "tree int, byte int, sums binary").groupBy("byte")
+    top = told.applyInArrow(middle, "one int, sums binary").groupBy("one").applyInArrow(crowned, "byte int, crown binary")
+    tops = told.cogroup(top.groupBy("byte")).applyInArrow(handed, "tree int, byte int, above binary").groupBy("tree")
 
     def predict(table: pa.Table, above: pa.Table) -> pa.Table:
         if table.num_rows == 0:
             return _one(r=([], pa.int32()), keys=([], pa.binary()), logs=([], pa.binary()))
         keys, counts, cuts = blocks.gathered(table, np.uint64, np.int64)
-        logs = Tree(keys, counts).predict(keys, np.frombuffer(above["crown"][0].as_py()).reshape(2, -1)).astype(np.float32)
+        tree = Tree(keys, counts)
+        from_above, byte = np.zeros((2, len(tree.want))), (tree.want >> U(8)) & U(255)
+        for x, values in zip(above["byte"].to_pylist(), above["above"].to_pylist(), strict=True):
+            from_above[:, byte == x] = np.frombuffer(values).reshape(2, -1)
+        logs = tree.predict(keys, from_above).astype(np.float32)
         return _one(r=(table["r"].to_pylist(), pa.int32()), keys=(table["keys"].to_pylist(), pa.binary()), logs=([logs[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()))
 
     logs = merged.cogroup(tops).applyInArrow(predict, "r int, keys binary, logs binary")
