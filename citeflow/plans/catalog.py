@@ -183,9 +183,24 @@ def _export(w):
 
 _on_works("snk_ris", lambda w: writers.to_ris(_export(w)), """SELECT work_id AS row_id, 'TY  - JOUR' || chr(10) || 'T1  - ' || title || chr(10) || coalesce('AU  - ' || replace(author, ', ', chr(10) || 'AU  - ') || chr(10), '') || coalesce('PY  - ' || CAST(pub_year AS INTEGER) || chr(10), '') || 'ER  - ' || chr(10) AS value FROM works""")
 _on_works("snk_bib", lambda w: writers.to_bib(_export(w)), """SELECT work_id AS row_id, '@article{ref' || work_id || ',' || chr(10) || '  author = {' || coalesce(replace(author, ', ', ' and '), 'Unknown') || '},' || chr(10) || '  title = {' || title || '},' || chr(10) || '  year = {' || coalesce(CAST(CAST(pub_year AS INTEGER) AS VARCHAR), 'Unknown') || '},' || chr(10) || '  journal = {Press}' || chr(10) || '}' || chr(10) AS value FROM works""")
-_on_works("cast_numeric", lambda w: w.select("work_id", T.number(F.when(F.col("work_id") % 4 == 0, "1,000").when(F.col("work_id") % 4 == 1, " 12 ").when(F.col("work_id") % 4 == 2, "12d").otherwise("1e3")).alias("x")), "SELECT work_id, CASE work_id % 4 WHEN 1 THEN 12.0 WHEN 3 THEN 1000.0 END AS x FROM works")
-_on_works("extract_year", lambda w: w.select("work_id", T.year_in(F.concat("title", F.lit(" in 20"), F.lpad((F.col("work_id") % 100).cast("string"), 2, "0"))).alias("year")), "SELECT work_id, CAST(regexp_extract(title || ' in 20' || lpad(CAST(work_id % 100 AS VARCHAR), 2, '0'), '(19|20)\\d{2}') AS INTEGER) AS year FROM works")
-_on_works("doi_norm", lambda w: w.select("work_id", T.doi(F.concat(F.when(F.col("work_id") % 2 == 0, " https://doi.org/").otherwise("doi:"), F.lit("10.1/"), F.col("work_id").cast("string"))).alias("doi")), "SELECT work_id, '10.1/' || work_id AS doi FROM works")
+# odd values of a column, and what becomes of each
+_NUMBERS = (("1,000", "NULL"), (" 12 ", "12.0"), ("12d", "NULL"), ("1e3", "1000.0"), ("", "NULL"), ("nan", "NULL"), ("-.5", "-0.5"), ("+7.", "7.0"), ("1e-2x", "NULL"), ("\u00a02020.7\t", "2020.7"), ("Infinity", "NULL"))
+_DOIS = ((" https://doi.org/10.1/a", "10.1/a"), ("doi:10.1/B c", "10.1/B c"), ("https://doi.org/doi:10.2/x\t", "10.2/x"), ("DOI:10.3/y", "DOI:10.3/y"), ("http://doi.org/10.4", "http://doi.org/10.4"), ("10.5/doi:z", "10.5/z"))
+_YEARS_IN = (("Made in 1999 and 2004", "1999"), ("a12019b", "2019"), ("no 21st century", "NULL"), ("1850, 20013", "2001"), ("", "NULL"))
+
+
+def _odd(values, f, name):
+    return lambda w: w.select("work_id", f(F.get(F.array(*(F.lit(v) for v, _ in values)), (F.col("work_id") % len(values)).cast("int"))).alias(name))
+
+
+def _odd_sql(values, name, quote=False):
+    cells = ", ".join(f"'{v}'" if quote and v != "NULL" else v for _, v in values)
+    return f"SELECT work_id, [{cells}][CAST(work_id % {len(values)} AS INTEGER) + 1] AS {name} FROM works"
+
+
+_on_works("cast_numeric", _odd(_NUMBERS, T.number, "x"), _odd_sql(_NUMBERS, "x").replace("[NULL,", "[CAST(NULL AS DOUBLE),").replace("12.0,", "CAST(12 AS DOUBLE),"))
+_on_works("extract_year", lambda w: _odd(_YEARS_IN, T.year_in, "year")(w).where("year is not null"), f"SELECT * FROM ({_odd_sql(_YEARS_IN, 'year')}) WHERE year IS NOT NULL")
+_on_works("doi_norm", _odd(_DOIS, T.doi, "doi"), _odd_sql(_DOIS, "doi", quote=True))
 _on_works("orange_color", lambda w: w.where("cites is not null").select("work_id", T.orange(F.col("cites"), F.lit(600.0)).alias("color")), "SELECT work_id, 'rgb(255, ' || CAST(trunc(200 - 100 * (cites / 600.0)) AS INTEGER) || ', ' || CAST(trunc(100 * (1 - cites / 600.0)) AS INTEGER) || ')' AS color FROM works WHERE cites IS NOT NULL")
 _on_works("fmt_refs", lambda w: _snapshot(w).select("doi", T.work_ids(F.col("referenced_works")).alias("refs"), T.author_names(F.col("authorships")).alias("author")), "SELECT 'https://doi.org/10.1/' || work_id AS doi, refs, author FROM works WHERE work_id % 2 = 0")
 _on_works("url_quote", lambda w: w.select("work_id", T.quoted(F.concat("title", F.lit(" ~*'é&/?="), F.coalesce("author", F.lit("-")))).alias("q")), "SELECT work_id, replace(url_encode(title || ' ~*''é&/?=' || coalesce(author, '-')), '%20', '+') AS q FROM works")
