@@ -1,56 +1,13 @@
-"""Written tables that cut lineage, and connected components."""
+"""What several corpus operators need: written tables, repeated rows, components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import weakref
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_RUN = f"citeflow-{uuid.uuid4().hex}"
-_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
-
-
-def folder(spark: SparkSession) -> str:
-    """This driver's own folder under spark.checkpoint.dir, deleted when the
-    driver ends.  Where the setting is unset, as in tests, a temporary folder
-    is set; on a cluster, where executors don't share one, that's an error."""
-    have = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not have:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        have = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", have)
-    own = f"{have}/{_RUN}"
-    path, fs = _file_system(spark, own)
-    if not fs.exists(path):
-        fs.mkdirs(path)
-        fs.deleteOnExit(path)
-    return own
-
-
-def _file_system(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back."""
-    spark = df.sparkSession
-    path = f"{folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _paths[out] = path
-    return out
-
+from citeflow.sources.scratch import forget, written
 
-def forget(*tables: DataFrame) -> None:
-    """Deletes written tables that nothing reads any more."""
-    for t in tables:
-        path, fs = _file_system(t.sparkSession, _paths.pop(t))
-        fs.delete(path, True)
+__all__ = ["checked", "components", "forget", "key_of", "repeated", "small_batches", "whole", "written"]
 
 
 def small_batches(spark: SparkSession) -> None:
