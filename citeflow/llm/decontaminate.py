@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checked, key_of, small_batches, whole, written
+from .shared import checked, forget, key_of, small_batches, whole, written
 from .text import PUNCTUATION, mix, pieces, powers, words
 
 U = np.uint64
@@ -161,7 +161,8 @@ def passes(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def met(docs: DataFrame, seeds: DataFrame, least: int, share: float) -> DataFrame:
     """(key, item, shift, n): where seeds of a document and an item of n words
     meet and enough words around are the same by 16 bits; the item's word i
-    lies on the document's word shift + i."""
+    lies on the document's word shift + i.  Written, as what goes in is: two
+    Python stages in one task would hold twice the memory."""
     reach, filter_ = reach_of(least, share), seed_filter(seeds)
     masks = [r["mask"] for r in seeds.select("mask").distinct().collect()]  # MASKS and plain runs of up to LEAST words
 
@@ -188,15 +189,17 @@ def met(docs: DataFrame, seeds: DataFrame, least: int, share: float) -> DataFram
                 shift = batch["pos"].to_numpy() - batch["place"].to_numpy()
                 yield _batch(key=batch["key"], item=batch["item"], shift=pa.array(shift, pa.int64()), n=batch["n"]).filter(pa.array(enough))
 
-    sought = docs.select(key_of().alias("key"), "text").mapInArrow(seek, "key long, seed long, pos long, around binary")
+    sought = written(docs.select(key_of().alias("key"), "text").mapInArrow(seek, "key long, seed long, pos long, around binary"))
     pairs = sought.join(seeds.drop("mask"), "seed").select("key", "item", "pos", "place", "n", "around", "around_item")
-    return pairs.mapInArrow(near, "key long, item long, shift long, n int").distinct()
+    out = written(pairs.mapInArrow(near, "key long, item long, shift long, n int").distinct())
+    forget(sought)
+    return out
 
 
 def found(docs: DataFrame, items: DataFrame, seeds: DataFrame, least: int, share: float) -> DataFrame:
     """(key, item, first, n_words, n_same): the best overlap of every document
     and item that have one, judged on all their words."""
-    near = written(met(docs, seeds, least, share))
+    near = met(docs, seeds, least, share)
     lists = near.groupBy("key", F.floor(F.col("shift") / STRETCH).alias("part")).agg(F.collect_list(F.struct("item", "shift", "n")).alias("meets"))
 
     def cut(batches):
@@ -217,7 +220,7 @@ def found(docs: DataFrame, items: DataFrame, seeds: DataFrame, least: int, share
     if near.limit(MEETS + 1).count() <= MEETS:
         lists = F.broadcast(lists)
     texts = docs.select(key_of().alias("key"), "text").join(lists, "key").select("key", "text", "meets")
-    cuts = texts.mapInArrow(cut, "key long, item long, shift long, lo long, part binary")
+    cuts = written(texts.mapInArrow(cut, "key long, item long, shift long, lo long, part binary"))
 
     def verify(batches):
         for batch in batches:

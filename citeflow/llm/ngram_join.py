@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import blocks
 from .shared import components, forget, repeated, written
-from .text import mix, shingle_sets
+from .text import mix, shingle_sets, trim
 
 SETS = "doc_id long, n_shingles long, c1 long, c2 long, prefix array<long>, shingles array<long>, _times long"
 #: Sets of a star and of a part of a unit that are searched at once, sets that
@@ -174,6 +174,8 @@ def document_sets(docs: DataFrame, k: int, percent: int, block_bytes: int, range
             rows[3].append(int(c2.astype(np.int64)))
             rows[4].append(prefix.view(np.int64))
             rows[5].append(x.view(np.int64) if len(prefix) else None)
+        del sets, flat, cut, keys
+        trim()
         return pa.table([pa.array(x, f.type) for x, f in zip(rows, schema, strict=True)], schema=schema)
 
     sent = route.send(dealt, keys_of)

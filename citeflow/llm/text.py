@@ -7,6 +7,8 @@ batch of documents is tokenised and hashed without a Python loop over words.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,6 +21,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
 _P, _Q = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -68,6 +74,14 @@ def chunks(off: np.ndarray, size: int = CHUNK):
         first = last
 
 
+def trim() -> None:
+    """Gives what Arrow and the C library hold free back to the system: idle
+    Python workers stay for a minute beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def pieces(batches, size: int = 1 << 20):
     """Record batches cut into runs of rows with about ``size`` bytes of
     text, so that what a worker holds does not grow with its batches; a
@@ -75,6 +89,7 @@ def pieces(batches, size: int = 1 << 20):
     for batch in batches:
         for a, b in chunks(text_bytes(batch["text"])[1], size):
             yield batch.slice(a, b - a)
+    trim()
 
 
 #: Separators for plain words: every ASCII byte but letters and digits.
