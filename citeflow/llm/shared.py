@@ -13,11 +13,13 @@ __all__ = ["checked", "components", "forget", "key_of", "repeated", "small_batch
 def small_batches(spark: SparkSession) -> None:
     """Lowers the session's Arrow batches from 64 MB to 4 MB, unless they were
     set: rows are whole texts here, and a task holds several copies of its
-    batch, in the JVM and in Python."""
-    for name, default in (("maxBytesPerBatch", 64 << 20), ("maxBytesPerOutputBatch", -1)):
-        key = f"spark.sql.execution.arrow.{name}"
-        if spark.conf.get(key, f"{default}b") == f"{default}b":
-            spark.conf.set(key, "4m")
+    batch, in the JVM and in Python.  Batches from Python stay as they come:
+    maxBytesPerOutputBatch cuts those only after the JVM has read them, and
+    Spark 4.1.2 closes the vectors it still reads into when a batch over that
+    limit follows one below it in a task."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, f"{64 << 20}b") == f"{64 << 20}b":
+        spark.conf.set(key, "4m")
 
 
 def checked(df: DataFrame, most: int = 100_000) -> DataFrame:

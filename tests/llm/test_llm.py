@@ -65,6 +65,21 @@ def test_substrings(docs, none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_large_batch_after_small(spark):
+    """Blocks whose messages and results have less than 4 MB, then more, in one task."""
+    rng = random.Random(6)
+    say = lambda n: " ".join(map(str, rng.choices(range(10**6, 10**7), k=n)))
+    texts = [say(60) for _ in range(60)] + [say(600_000) for _ in range(2)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[0]])], "doc_id long, text string")
+    had = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = {r["doc_id"]: tuple(r)[1:4] for r in substring_dedup.remove_repeats(df, block_bytes=1 << 20).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", had)
+    assert got == {i: (60, 60, "") if i in (0, 62) else (len(t.split()), 0, t) for i, t in enumerate([*texts, texts[0]])}
+
+
 def sets_of(rows):
     out = {}
     for r in rows:
