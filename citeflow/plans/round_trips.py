@@ -42,7 +42,9 @@ def _csv(more: str, sep: str, encoding: str):
 
 
 def _xlsx(s, d):
-    return _back(readers.read_works(s, scratch.put(s, writers.xlsx_bytes(_table(works(s, d), _title())), ".xlsx")))
+    path = scratch.new_path(s) + ".xlsx"
+    writers.write_xlsx(_table(works(s, d), _title()), path)
+    return _back(readers.read_works(s, path))
 
 
 def _export(w):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 import weakref
@@ -60,3 +61,18 @@ def put(spark: SparkSession, content: bytes, name: str, folder: str | None = Non
     finally:
         out.close()
     return whole
+
+
+@contextlib.contextmanager
+def fetched(spark: SparkSession, path: str):
+    """The path of a copy of a file on the driver's own disk, for a while."""
+    at, fs = _file_system(spark, path)
+    with tempfile.TemporaryDirectory(prefix="citeflow-") as own:
+        fs.copyToLocalFile(False, at, spark._jvm.org.apache.hadoop.fs.Path(f"file://{own}/file"), True)
+        yield f"{own}/file"
+
+
+def send(spark: SparkSession, local: str, path: str) -> None:
+    """Copies a file or folder of the driver's own disk to a path."""
+    at, fs = _file_system(spark, path)
+    fs.copyFromLocalFile(False, True, spark._jvm.org.apache.hadoop.fs.Path(f"file://{local}"), at)

@@ -168,6 +168,42 @@ def test_workbook_order_and_odd_numbers(spark):
     assert readers.parse_xlsx(out.getvalue())[0] == ["Second", "n"]
 
 
+def test_workbook_in_pieces(spark, tmp_path, monkeypatch):
+    """Prefixes, comments, character data, shared strings and UTF-16, cut anywhere; the driver never holds the sheet."""
+    import io
+    import tracemalloc
+    import zipfile
+
+    old = zipfile.ZipFile(io.BytesIO(writers.xlsx_bytes(spark.createDataFrame([("X",)], "a string"))))
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    body = "".join(f'<p:row><p:c t="s"><p:v>{i % 2}</p:v></p:c><!-- </p:row> --><p:c r="C{i}" t="inlineStr"><p:is><p:t><![CDATA[</p:row>{i}]]>é</p:t></p:is></p:c></p:row><p:row/>' for i in range(40))
+    want = [x for i in range(40) for x in (["ab"[i % 2], None, f"</p:row>{i}é"], [])]
+    for code in ("utf-8", "utf-16"):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for n in old.namelist():
+                z.writestr(n, f'<?xml version="1.0" encoding="{code}"?><p:worksheet xmlns:p="{main}"><p:sheetData>{body}</p:sheetData></p:worksheet>'.encode(code) if "sheet1" in n else old.read(n))
+            z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>a</t></si><si><t>b</t></si></sst>')
+        for size in (7, 100, 1 << 20):
+            monkeypatch.setattr(readers, "SHEET_BYTES", size, raising=False)
+            assert readers.parse_xlsx(out.getvalue()) == want
+        (tmp_path / "c.xlsx").write_bytes(out.getvalue())
+        monkeypatch.setattr(readers, "SHEET_BYTES", 300)
+        df = readers.read_xlsx(spark, f"{tmp_path}/c.xlsx")
+        assert df.columns == ["a", "column_1", "</p:row>0é"]
+        assert [[x for x in r] for r in df.collect()] == [[*r, None, None, None][:3] for r in want[1:]]
+    monkeypatch.setattr(readers, "SHEET_BYTES", 1 << 16)
+    (tmp_path / "d.xlsx").write_bytes(writers.xlsx_bytes(spark.range(60_000).selectExpr("id", "'text ' || id AS Title", "id / 7 AS x")))
+    tracemalloc.start()
+    try:
+        df = readers.read_xlsx(spark, f"{tmp_path}/d.xlsx")
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 4 << 20
+    assert [(r["id"], r["Title"]) for r in df.collect()] == [(str(i), f"text {i}") for i in range(60_000)]
+
+
 def test_weighted_paths(spark):
     import itertools
     import random
