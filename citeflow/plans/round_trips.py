@@ -75,8 +75,9 @@ def _sink_csv(s, d):
 
 def _sink_excel(s, d):
     df = works(s, d).select("work_id", F.when(F.col("work_id") % 3 == 0, F.lit(float("nan"))).when(F.col("work_id") % 3 == 1, F.lit(float("inf"))).otherwise(F.col("cites")).alias("x"), F.col("author"))
-    rows = readers.parse_xlsx(writers.xlsx_bytes(df))
-    return s.createDataFrame([(int(float(r[0])), *[*r[1:], None, None][:2]) for r in rows[1:]], "work_id long, x string, author string")
+    path = scratch.new_path(s) + ".xlsx"
+    writers.write_xlsx(df, path)
+    return readers.read_xlsx(s, path).select(F.col("work_id").cast("long").alias("work_id"), "x", "author")
 
 
 def _dispatch(s, d):

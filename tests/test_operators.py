@@ -168,6 +168,18 @@ def test_workbook_order_and_odd_numbers(spark):
     assert readers.parse_xlsx(out.getvalue())[0] == ["Second", "n"]
 
 
+def test_workbook_over_a_sheet(spark, tmp_path):
+    rows = [(i, f"t{i}", float("nan") if i % 3 else i / 2) for i in range(11)]
+    df = spark.createDataFrame(rows, "n long, Title string, x double").coalesce(2)
+    want = [["n", "Title", "x"], *([str(i), f"t{i}"] + ([] if i % 3 else [str(x)]) for i, _, x in rows)]
+    assert readers.parse_xlsx(writers.xlsx_bytes(df, most_rows=4)) == want
+    writers.write_xlsx(df, f"{tmp_path}/a.xlsx", most_bytes=200)
+    got = readers.read_works(spark, f"{tmp_path}/a.xlsx").orderBy("row_id").collect()
+    assert [(r["N"], r["Title"], r["X"]) for r in got] == [(str(i), t, None if i % 3 else str(x)) for i, t, x in rows]
+    writers.write_xlsx(df.limit(0), f"{tmp_path}/b.xlsx")
+    assert readers.read_works(spark, f"{tmp_path}/b.xlsx").count() == 0
+
+
 def test_workbook_in_pieces(spark, tmp_path, monkeypatch):
     """Prefixes, comments, character data, shared strings and UTF-16, cut anywhere; the driver never holds the sheet."""
     import io
